@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeweave.llm import mixing, sharding
+from edgeweave.llm import decontaminate, language_id, mixing, parity_join, sharding
 from edgeweave.llm.common import cut, table
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language model, fitted on this stage's input, does not reject."""
+    return language_id.named(docs, language_id.fit(docs.filter(~language_id.held_out())))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group of near duplicates (five-word shingles, 0.8)."""
+    return parity_join.one_of_each(docs, k=5, threshold=80)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a region of a benchmark item."""
+    return decontaminate.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target weight asks, in shuffled order."""
     return mixing.mix(docs).select(*docs.columns)
@@ -18,7 +33,13 @@ def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return sharding.assign_shards(docs)
 
 
-STAGES = [("mixing", mixing_stage), ("sharding", sharding_stage)]
+STAGES = [
+    ("language_id", language_stage),
+    ("ngram_jaccard_join", near_duplicate_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("sharding", sharding_stage),
+]
 
 #: Language ID and alignment are not SQL.
 ORACLE_SQL = None

@@ -7,16 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeweave.llm import chat_format, mixing, secret_ledger, sharding
+from edgeweave.llm import bit_codes, chat_format, decontaminate, language_id, main_text, mixing, parity_join, secret_ledger, sharding, toxicity
 from edgeweave.llm.common import table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_codes.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op2_qgram_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_regions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_text_to_tag_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix(docs)
@@ -26,6 +38,10 @@ def op6_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(table(spark, sf_dir, "documents"))
 
 
+def op7_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predictions(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(
@@ -37,8 +53,26 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(rows.unionByName(probe))
 
 
+def op9_compression_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.near_duplicates(table(spark, sf_dir, "documents"), k=3, threshold=90)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_ledger, op5_poisson_mix, op6_label_propagation, op8_chat_format)}
+    all_ = (op1_bit_codes, op2_qgram_lemma, op3_secret_ledger, op4_text_to_tag_ratio, op5_poisson_mix, op6_label_propagation, op7_nearest_centroid, op8_chat_format, op9_compression_distance, op10_parity_join)
+    return {f.__name__: f for f in all_}
+
+
+OP1_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.e, v.e) AS score FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
 
 
 def _spans_sql(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
@@ -99,4 +133,4 @@ FROM e GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secret_ledger": OP3_SQL, "op5_poisson_mix": OP5_SQL, "op8_chat_format": OP8_SQL}
+    return {"op1_bit_codes": OP1_SQL, "op3_secret_ledger": OP3_SQL, "op5_poisson_mix": OP5_SQL, "op8_chat_format": OP8_SQL}
