@@ -174,10 +174,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     marks = labels.filter(~held_out()).filter("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    chance = (F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    share = F.when(F.col("toxic") == 1, min(1.0, SAMPLE / max(1, n1))).otherwise(min(1.0, SAMPLE / max(1, n0)))
-    some = marks.filter(chance < share)
-    rows = docs.select("doc_id", "text").join(some, "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).collect()
+    by_hash = [F.xxhash64(F.lit("toxicity"), "doc_id"), F.col("doc_id")]
+    some = None
+    for label in (0, 1):
+        part = marks.filter(F.col("toxic") == label).orderBy(*by_hash).limit(SAMPLE)
+        some = part if some is None else some.unionByName(part)
+    # At most two times SAMPLE ids, so they go to the texts and not the texts to them.
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
     return fit_texts([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0], n1 / max(1, n0 + n1))
 
