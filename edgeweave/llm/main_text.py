@@ -74,7 +74,8 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # tag, number, whether it or one around it is named away
+        #: Tag, number, whether it or one around it is named away, and whether that one stands inside a line.
+        self.stack: list[tuple[str, int, bool, bool]] = []
         self.lines: list[tuple[str, int, tuple[tuple[str, int], ...], bool]] = []
         self.text: list[str] = []
         self.tags, self.n = 0, 0
@@ -82,7 +83,7 @@ class Lines(HTMLParser):
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, tuple((t, i) for t, i, _ in self.stack if t in BLOCK), bool(self.stack) and self.stack[-1][2]))
+            self.lines.append((text, self.tags, tuple((t, i) for t, i, *_ in self.stack if t in BLOCK), bool(self.stack) and self.stack[-1][2]))
             self.tags = 0
         self.text.clear()
 
@@ -100,9 +101,10 @@ class Lines(HTMLParser):
             self.shut("p", within=True)
         away = bool(self.stack) and self.stack[-1][2]
         if not away:
-            away = named_away(tag, dict(attrs), any(t in ("article", "main") for t, _, _ in self.stack))
+            away = named_away(tag, dict(attrs), any(t in ("article", "main") for t, *_ in self.stack))
+        around = self.stack[-1] if self.stack else ("", 0, False, False)
         self.n += 1
-        self.stack.append((tag, self.n, away))
+        self.stack.append((tag, self.n, away, around[3] or (away and not around[2] and tag not in BLOCK)))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # as in HTML, where the slash means nothing
@@ -122,7 +124,8 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        self.text.append(data)
+        if not (self.stack and self.stack[-1][3]):
+            self.text.append(data)
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
