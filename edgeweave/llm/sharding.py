@@ -35,18 +35,26 @@ def propagate(pieces: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
     """(hub, origin, shard): where the documents of a hub that began in ``origin`` end.
 
     ``pieces`` has (hub, origin, n).  A piece asks for the shard, among those with room, that holds most of its hub
-    (the lowest on ties); it moves only if that shard holds more of the hub than its own, or as much and is lower.
+    (the lowest on ties); it moves only if that shard holds more of the hub than its own, or as much and is lower or its own is full.  Where no
+    shard of the hub has room, pieces in a shard over its quota ask for one that the hub's hash picks.
     """
-    spark, k = pieces.sparkSession, len(quotas)
-    state = cut(pieces.select("hub", "origin", F.col("origin").alias("shard"), "n"))
+    spark = pieces.sparkSession
+    placed = place_large(pieces, quotas)
+    begin = pieces.join(placed, ["hub", "origin"], "left").withColumn("shard", F.coalesce("shard", "origin"))
+    state = cut(begin.select("hub", "origin", "shard", "n"))
     for _ in range(rounds):
         load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         room = [max(0, q - load.get(s, 0)) for s, q in enumerate(quotas)]
         rooms = F.array(*[F.lit(r).cast("long") for r in room])
         held = state.groupBy("hub", "shard").agg(F.sum("n").alias("held"))
         best = held.filter(F.get(rooms, F.col("shard")) > 0).groupBy("hub").agg(F.max(F.struct("held", (-F.col("shard")).alias("low"))).alias("best"))
-        wants = held.alias("h").join(best.alias("b"), "hub").select("hub", F.col("shard"), "held", (-F.col("best.low")).alias("to"), F.col("best.held").alias("there"))
-        wants = wants.filter((F.col("to") != F.col("shard")) & ((F.col("there") > F.col("held")) | ((F.col("there") == F.col("held")) & (F.col("to") < F.col("shard")))))
+        full = F.get(rooms, F.col("shard")) == 0
+        crowded = F.array(*[F.lit(load.get(s, 0) > q) for s, q in enumerate(quotas)])
+        free = [s for s, r in enumerate(room) if r] or [0]
+        other = F.get(F.array(*[F.lit(s) for s in free]), F.pmod(F.xxhash64("hub"), F.lit(len(free))).cast("int"))
+        wants = held.join(best, "hub", "left").select("hub", "shard", "held", F.coalesce(-F.col("best.low"), other).alias("to"), F.coalesce("best.held", F.lit(0)).alias("there"))
+        better = (F.col("there") > F.col("held")) | ((F.col("there") == F.col("held")) & ((F.col("to") < F.col("shard")) | full))
+        wants = wants.filter((F.col("to") != F.col("shard")) & (better | ((F.col("there") == 0) & F.get(crowded, F.col("shard")))))
         dealt = wants.withColumn("grant", F.pmod(F.xxhash64("hub", "shard"), F.lit(GRANTS)).cast("int"))
         sums = dealt.groupBy("to", "grant").agg(F.sum("held").alias("n")).collect()  # at most shards x GRANTS rows
         granted, left = [], room[:]
@@ -62,6 +70,25 @@ def propagate(pieces: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
     return state.select("hub", "origin", "shard")
 
 
+def place_large(pieces: DataFrame, quotas: list[int]) -> DataFrame:
+    """(hub, origin, shard) of the pieces of hubs that no shard can hold whole: they fill shard after shard.
+
+    Together these hubs have no more rows than all quotas, so there are at most as many as shards.
+    """
+    least = max(1, min(quotas))
+    large = pieces.groupBy("hub").agg(F.sum("n").alias("all")).filter(F.col("all") > least).select("hub")
+    rows = pieces.join(large, "hub", "left_semi").collect()  # at most shards x shards
+    room, at, out = list(quotas), 0, []
+    for hub in sorted({r["hub"] for r in rows}):
+        for r in sorted((r for r in rows if r["hub"] == hub), key=lambda r: (-r["n"], r["origin"])):
+            to = next((s for s in [*range(at, len(room)), *range(at)] if room[s] >= r["n"]), None)
+            if to is not None:
+                room[to] -= r["n"]
+                out.append((hub, r["origin"], to))
+        at = (max((s for h, _, s in out if h == hub), default=at) + 1) % len(room)
+    return pieces.sparkSession.createDataFrame(out, "hub string, origin int, shard int")
+
+
 def assign_shards(docs: DataFrame, n_shards: int = 24, hub: Column | None = None, rounds: int = 6) -> DataFrame:
     """``docs`` with shard (0 to n_shards - 1) and slot (from 0, gapless in each shard)."""
     names = fresh(docs, "_hub", "_origin", "_at", "_alone", "_id", "_rank", "shard", "slot")
