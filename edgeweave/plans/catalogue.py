@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeweave.plans import change_queries, graph_queries, join_queries, text_queries
+from edgeweave.plans import change_queries, extract_queries, graph_queries, join_queries, text_queries
 
-MODULES = (graph_queries, text_queries, join_queries, change_queries)
+MODULES = (graph_queries, text_queries, join_queries, change_queries, extract_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
