@@ -80,15 +80,16 @@ def module_key(file: Column, root_name: Column, root_dir: Column) -> Column:
 
 
 def suffix_join(paths: DataFrame, keys: DataFrame) -> DataFrame:
-    """ref_id, id, length: keys that are a non-empty suffix of the path, joined on the last segment.
+    """ref_id, id, length: keys that are a non-empty suffix of the path.
 
-    ``paths``: ref_id, path array; ``keys``: key array, id.
+    Each path gives its suffixes, and whole keys are joined by equality: however common a last segment is, no
+    candidate is made that a residual test would drop.  ``paths``: ref_id, path array; ``keys``: key array, id.
     """
-    left = paths.filter(F.size("path") > 0).withColumn("tail", F.element_at("path", -1))
-    right = keys.filter(F.size("key") > 0).withColumn("tail", F.element_at("key", -1))
-    n, m = F.size("path"), F.size("key")
-    ends = (m <= n) & (F.slice(F.col("path"), F.greatest(n - m + 1, F.lit(1)), m) == F.col("key"))
-    return left.join(right, "tail").filter(ends).select("ref_id", "id", m.alias("length"))
+    n = F.size("path")
+    ends = F.transform(F.sequence(F.lit(1), n), lambda k: F.slice(F.col("path"), n - k + 1, k))
+    left = paths.filter(n > 0).select("ref_id", F.explode(ends).alias("key"))
+    right = keys.filter(F.size("key") > 0).select("key", "id")
+    return left.join(right, "key").select("ref_id", "id", F.size("key").alias("length"))
 
 
 def unique_best(found: DataFrame) -> DataFrame:
@@ -140,17 +141,36 @@ def resolve_paths(paths: DataFrame, defs: DataFrame, reexports: DataFrame | None
 
 # Scopes inside a file ------------------------------------------------------------------------------------------
 
+#: Widths of the bins that intervals are joined by: an interval lies in two bins at most of the first that holds it.
+WIDTHS = tuple(256 * 4**i for i in range(16))
+
+
+def span_bins(start: Column, end: Column) -> Column:
+    """array<struct<level, bin>> of an interval: the bins it touches on its level."""
+    level = F.size(F.filter(F.array(*[F.lit(w).cast("long") for w in WIDTHS[:-1]]), lambda w: w < end - start))
+    width = F.element_at(F.array(*[F.lit(w).cast("long") for w in WIDTHS]), level + 1)
+    return F.transform(F.sequence(F.floor(start / width), F.floor(end / width)), lambda b: F.struct(level.alias("level"), b.cast("long").alias("bin")))
+
+
+def point_bins(at: Column) -> Column:
+    """array<struct<level, bin>> of a point: its bin on every level."""
+    return F.array(*[F.struct(F.lit(i).alias("level"), F.floor(at / F.lit(w)).cast("long").alias("bin")) for i, w in enumerate(WIDTHS)])
+
+
 def smallest_enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
     """E5: ref_id, enclosing: the id of the smallest span of the same file that holds the whole reference."""
-    inside = points.alias("p").join(spans.alias("s"), (F.col("p.file") == F.col("s.file")) & (F.col("s.start") <= F.col("p.start")) & (F.col("p.end") <= F.col("s.end")))
-    return inside.groupBy("p.ref_id").agg(F.min_by(F.col("s.id"), F.struct(F.col("s.end") - F.col("s.start"), F.col("s.id"))).alias("enclosing"))
+    left = points.select("ref_id", "file", F.col("start").alias("s"), F.col("end").alias("e"), F.explode(point_bins(F.col("start"))).alias("at"))
+    right = spans.select("id", "file", "start", "end", F.explode(span_bins(F.col("start"), F.col("end"))).alias("at"))
+    inside = left.join(right, ["file", "at"]).filter((F.col("start") <= F.col("s")) & (F.col("e") <= F.col("end")))
+    return inside.groupBy("ref_id").agg(F.min_by("id", F.struct(F.col("end") - F.col("start"), F.col("id"))).alias("enclosing"))
 
 
 def local_at(refs: DataFrame, locals_: DataFrame) -> DataFrame:
     """ref_id, type_name of the last local of the name whose scope covers the reference's start."""
-    r, loc = refs.alias("r"), locals_.alias("l")
-    covers = (F.col("r.file") == F.col("l.file")) & (F.col("r.name") == F.col("l.name")) & (F.col("l.start") <= F.col("r.start")) & (F.col("r.start") < F.col("l.scope_end"))
-    return r.join(loc, covers).groupBy("r.ref_id").agg(F.max_by(F.struct(F.col("l.type_name")), F.struct(F.col("l.start"), F.coalesce("l.type_name", F.lit("")))).alias("x")).select("ref_id", "x.type_name")
+    left = refs.select("ref_id", "file", "name", F.col("start").alias("s"), F.explode(point_bins(F.col("start"))).alias("at"))
+    right = locals_.select("file", "name", "start", "scope_end", "type_name", F.explode(span_bins(F.col("start"), F.greatest("start", "scope_end"))).alias("at"))
+    covers = left.join(right, ["file", "name", "at"]).filter((F.col("start") <= F.col("s")) & (F.col("s") < F.col("scope_end")))
+    return covers.groupBy("ref_id").agg(F.max_by(F.struct("type_name"), F.struct(F.col("start"), F.coalesce("type_name", F.lit("")))).alias("x")).select("ref_id", "x.type_name")
 
 
 def visible_definitions(nodes: DataFrame) -> DataFrame:
