@@ -3,19 +3,20 @@
 A document is the set of its distinct k-word shingles, as 64-bit hashes.  Equal sets are one class.  For sets whose
 Jaccard similarity reaches t / 100, the smaller with a members, the symmetric difference has at most
 a * (100 - t) / t members.  Sizes are cut into bands; a size band whose smaller sets have at most ``a`` members
-allows d = floor(a * (100 - t) / t).  A sketch has d + 1 words of 64 bits; a shingle's hash flips one bit of one
-word, so that
+allows d = floor(a * (100 - t) / t) differing shingles, and deals the shingles by hash to more than d words:
 
-* the Hamming distance of two sketches is at most the symmetric difference (each differing shingle flips one bit);
-* of d + 1 words, d differing shingles leave one word untouched (pigeonhole): linked sets share a whole word.
+* a word's XOR of the 64-bit hashes that fall into it is its key; of d + 1 words that hold shingles, d differing
+  shingles leave one untouched (pigeonhole), so linked sets share a key;
+* in a sketch of bits each shingle's hash flips one bit, so the Hamming distance of two sketches is at most the
+  symmetric difference.
 
-A class gives the words of its own size band, and those of the band below where its size can still meet a set of
-that band.  Classes that share a word are compared in three steps, none of which writes all pairs of a group:
+A class gives the keys of its own size band, and those of the band below where its size can still meet a set of that
+band.  Classes that share a key are compared in three steps, none of which writes all pairs of a group:
 
-1. star: each class against the bucket's centre, the class that shares most words with others;
-2. rest: only where a bucket's other classes still lie in different components, pairs of different components
-   whose sketches' Hamming distance is at most d (tested inside the join, so that other pairs are never rows);
-3. every pair from 1 and 2 whose sketches allow it is verified on the sets themselves, in integers.
+1. star: each class against the key's centre, the class that shares most keys with others;
+2. rest: only where a key's other classes still lie in different components, pairs of different components whose
+   sketches allow a link (tested inside the join, so that other pairs are never rows);
+3. every pair from 1 and 2 whose sizes and sketches allow a link is verified on the sets themselves, in integers.
 
 Components come from star rounds over the verified links.  No link between different texts is lost; classes stand
 for their copies.
@@ -34,12 +35,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeweave.llm.common import cut, small_batches
+from edgeweave.llm.common import cut, forget, release, small_batches
 from edgeweave.llm.graph import components
-from edgeweave.llm.hashing import fingerprint, shingles, word_hashes
+from edgeweave.llm.hashing import ODD, fingerprint, mixed, shingles, word_hashes
 
 #: A size band reaches to so many times its least size.
-WIDTH = 1.25
+WIDTH = 1.5
+#: Parts of the key space that are shuffled one after the other.
+PASSES = 4
+#: Words of 64 bits in the sketch that pairs are tested by before their sets are.
+SKETCH = 32
 
 
 def size_bands(largest: int) -> list[int]:
@@ -62,54 +67,87 @@ def sketch(hashes: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
-def sketches(hashes: np.ndarray, threshold: int, bands: list[int]) -> list[tuple[int, np.ndarray]]:
-    """(band, words) for the size's own band, and for the one below if a set there can be linked with this."""
-    n = len(hashes)
+def word_keys(hashes: np.ndarray, words: int, needed: int, band: int) -> np.ndarray:
+    """One join key per word that has a shingle: the XOR of the whole hashes that fall into it, with size band and place.
+
+    Words that no differing shingle touches have equal keys, as they have equal bits; but unlike 64 bits, a key of few
+    shingles meets only the same few shingles.  With ``needed`` words that have shingles or more, one of these is
+    untouched by needed - 1 differences, so empty words say nothing; with fewer they get keys too.
+    """
+    word = ((hashes >> np.uint64(6)) % np.uint64(words)).astype(np.int64)
+    order = np.argsort(word, kind="stable")
+    starts = np.flatnonzero(np.diff(word[order], prepend=-1))
+    held = word[order][starts]
+    out = np.zeros(words, dtype=np.uint64)
+    out[held] = np.bitwise_xor.reduceat(mixed(hashes + ODD[3])[order], starts)
+    keys = mixed(out + mixed(np.arange(words, dtype=np.uint64) * ODD[0] + np.uint64(band))).view(np.int64)
+    return keys[held] if len(held) >= needed else keys
+
+
+def words_for(needed: int, least: int) -> int:
+    """So many words that a set of ``least`` members leaves ``needed`` of them filled, as a rule."""
+    words = needed
+    for _ in range(8):
+        words = int(1.02 * needed / (1 - np.exp(-least / words))) + 1
+    return max(words, needed)
+
+
+def placed(n: int, threshold: int, bands: list[int]) -> list[tuple[int, int, int]]:
+    """(band, words, d + 1) of the size's own band, and of the one below if a set there can be linked with this size."""
     own = int(np.searchsorted(bands, n, side="right")) - 1
     out = []
     for k in (own, own - 1):
-        if k < 0 or k < own and n * threshold > (bands[k + 1] - 1) * 100:
-            continue
-        d = allowed(bands[k + 1] - 1, threshold)
-        if d:  # with no difference allowed, linked sets are one class
-            out.append((k, sketch(hashes, d + 1)))
+        if k >= 0 and (k == own or n * threshold <= (bands[k + 1] - 1) * 100):
+            d = allowed(bands[k + 1] - 1, threshold)
+            if d:  # with no difference allowed, linked sets are one class
+                out.append((k, words_for(d + 1, bands[k]), d + 1))
     return out
 
 
-SETS = "doc_id bigint, n bigint, hi bigint, lo bigint, sketches array<struct<band:int,words:array<bigint>>>"
+class Bands:
+    """The size bands, grown as larger sets come."""
+
+    def __init__(self) -> None:
+        self.least = size_bands(1 << 20)
+
+    def of(self, n: int, threshold: int) -> list[tuple[int, int, int]]:
+        if n >= self.least[-1]:
+            self.least = size_bands(n)
+        return placed(n, threshold, self.least)
 
 
-def sketched(docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    kind = pa.list_(pa.struct([("band", pa.int32()), ("words", pa.list_(pa.int64()))]))
+def keyed_sets(docs: DataFrame, k: int, threshold: int) -> DataFrame:
+    """doc_id, n, the set's fingerprint (hi, lo) and the keys of all its words, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = size_bands(1 << 20)
+        bands = Bands()
         for batch in batches:
             rows = []
             for text in batch.column("text"):
                 s = shingles(word_hashes(text.as_py()), k)
-                if len(s) >= bands[-1]:
-                    bands = size_bands(len(s))
-                rows.append((len(s), *fingerprint(s), [{"band": b, "words": w} for b, w in sketches(s, threshold, bands)]))
-            n, hi, lo, sk = zip(*rows, strict=True) if rows else ((), (), (), ())
+                keys = [word_keys(s, w, needed, b) for b, w, needed in bands.of(len(s), threshold)] if len(s) else []
+                rows.append((len(s), *fingerprint(s), np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)))
+            n, hi, lo, keys = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sk, kind)],
-                names=["doc_id", "n", "hi", "lo", "sketches"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "hi", "lo", "keys"],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SETS)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, hi bigint, lo bigint, keys array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, set) of the documents whose ids ``nodes`` (node) has; of a repeated id, the largest set."""
+    """node, size, sketch, set of the documents whose ids ``nodes`` (node) has; of a repeated id, the largest text's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(word_hashes(t.as_py()), k).view(np.int64) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+            sets = [shingles(word_hashes(t.as_py()), k) for t in batch.column("text")]
+            columns = [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s, SKETCH) for s in sets], pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "sketch", "set"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(nodes, "node", "left_semi")
-    return texts.mapInArrow(run, "node bigint, set array<bigint>").groupBy("node").agg(F.max("set").alias("set"))
+    texts = texts.groupBy("node").agg(F.max("text").alias("text"))  # as the join dealt them
+    return texts.mapInArrow(run, "node bigint, size bigint, sketch array<bigint>, set array<bigint>")
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -126,49 +164,100 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.filter(100 * common >= threshold * union).select("a", "b")
 
 
-def near_pairs(reps: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Verified links (a, b) between class nodes that connect whatever all links connect; ``reps`` has node, sketches."""
-    words = reps.select("node", F.explode("sketches").alias("s")).select("node", F.col("s.band").alias("band"), F.col("s.words").alias("words"))
-    keyed = words.select("node", "band", F.posexplode("words").alias("i", "word")).select(F.xxhash64("band", "i", "word").alias("key"), "node")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    active = cut(keyed.join(shared, "key"))
-    support = active.groupBy("node").agg(F.sum("n").alias("support"))
-    nodes = cut(support)
-    sets = cut(shingle_sets(docs, nodes.select("node"), k))
+def shared_keys(keys: DataFrame, reps: DataFrame) -> DataFrame:
+    """key, node, n of the keys that n > 1 classes have.
+
+    ``keys``: hi, lo, node, keys; ``reps`` says which of these rows stand for a class.  The key space is gone through in
+    PASSES parts, one after the other, so that the disk holds one part's exchange at a time.
+    """
+    spark, out = keys.sparkSession, None
+    for i in range(PASSES):
+        here = F.lit(i)
+        part = keys.withColumn("keys", F.filter("keys", lambda k: F.pmod(k, F.lit(PASSES)) == here)).filter(F.size("keys") > 0)  # noqa: B023
+        part = part.join(reps, ["hi", "lo", "node"], "left_semi")
+        # Dealt by key once; the count and the join read the same exchange.
+        keyed = part.select("node", F.explode("keys").alias("key")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
+        shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        active = cut(keyed.join(shared.hint("shuffle_merge"), "key"))
+        out = active if out is None else out.unionByName(active)
+        del part, keyed, shared
+        release(spark)
+    return out
 
-    centres = active.join(nodes, "node").groupBy("key").agg(F.max(F.struct("support", (-F.col("node")).alias("m"))).alias("c"))
-    centres = cut(centres.select("key", (-F.col("c.m")).alias("centre")))
-    star = active.join(centres, "key").filter("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    links = cut(verified(star, sets, threshold))
 
-    parts = components(links)
+def may_link(x: Column, y: Column, threshold: int) -> Column:
+    """Whether size and sketch allow a link; x and y are structs of both.
+
+    Linked sets differ in (x + y) * (100 - t) / (100 + t) shingles at most, and their sketches in no more bits.
+    """
+    sizes = 100 * F.least(x["size"], y["size"]) >= threshold * F.greatest(x["size"], y["size"])
+    return sizes & (hamming(x["sketch"], y["sketch"]) * (100 + threshold) <= (x["size"] + y["size"]) * (100 - threshold))
+
+
+def marks_of(sets: DataFrame, node: str, mark: str) -> DataFrame:
+    return sets.select(F.col("node").alias(node), F.struct("size", "sketch").alias(mark))
+
+
+def star_pairs(active: DataFrame, centres: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Each class with the centre of every key that it shares, if size and sketch allow a link."""
+    pairs = active.join(centres, "key").filter("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    pairs = pairs.join(marks_of(sets, "a", "x"), "a").join(marks_of(sets, "b", "y"), "b")
+    return pairs.filter(may_link(F.col("x"), F.col("y"), threshold)).select("a", "b")
+
+
+def rest_of(active: DataFrame, centres: DataFrame, parts: DataFrame) -> DataFrame:
+    """key, node, component where a key's classes but for the centre lie in several components."""
     rest = active.filter("n > 2").join(centres, "key").filter("node != centre").join(parts, "node", "left")
     rest = rest.select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
-    rest = cut(rest.join(mixed, "key", "left_semi"))
-    if rest.isEmpty():
-        return links
-    all_words = cut(words.join(rest.select("node").distinct(), "node", "left_semi"))
-    own = all_words.select("node", "band", "words", F.posexplode("words").alias("i", "word")).select(F.xxhash64("band", "i", "word").alias("key"), "node", "words")
-    own = own.join(rest, ["key", "node"])
+    several = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
+    return cut(rest.join(several, "key", "left_semi"))
+
+
+def rest_pairs(rest: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs of different components that share a key and whose sizes and sketches allow a link."""
+    own = rest.join(marks_of(sets, "node", "mark"), "node")
     x, y = own.alias("x"), own.alias("y")
     close = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-    close &= F.size("x.words") == F.size("y.words")
-    close &= hamming(F.col("x.words"), F.col("y.words")) < F.size("x.words")  # a sketch has d + 1 words
-    more = x.join(y, close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    return links.unionByName(verified(more, sets, threshold))
+    close &= may_link(F.col("x.mark"), F.col("y.mark"), threshold)
+    return x.join(y, close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def near_pairs(active: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Verified links (a, b) between class nodes that connect whatever all links connect."""
+    spark = active.sparkSession
+    nodes = cut(active.groupBy("node").agg(F.sum("n").alias("support")))
+    sets = cut(shingle_sets(docs, nodes.select("node"), k))
+    release(spark)
+    centres = active.join(nodes, "node").groupBy("key").agg(F.max(F.struct("support", (-F.col("node")).alias("m"))).alias("c"))
+    centres = cut(centres.select("key", (-F.col("c.m")).alias("centre")))
+    links = cut(verified(star_pairs(active, centres, sets, threshold), sets, threshold))
+    release(spark)
+    rest = rest_of(active, centres, components(links))
+    if not rest.isEmpty():
+        release(spark)
+        more = cut(verified(rest_pairs(rest, sets, threshold), sets, threshold))
+        links = links.unionByName(more)
+    forget(active, nodes, sets, centres, rest)
+    release(spark)
+    return links
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reachable by links of at least ``threshold`` percent."""
-    small_batches(docs.sparkSession)
-    each = cut(sketched(docs, k, threshold))
-    classes = each.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.first("sketches").alias("sketches"))
-    reps = cut(classes.filter("node is not null"))
-    parts = components(near_pairs(reps.select("node", "sketches"), docs, k, threshold))
-    named = reps.select("hi", "lo", "node").join(parts, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component"))
-    out = each.select("doc_id", "n", "hi", "lo").join(named, ["hi", "lo"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    spark = docs.sparkSession
+    small_batches(spark)
+    made = cut(keyed_sets(docs, k, threshold))
+    each = cut(made.select("doc_id", "n", "hi", "lo"))
+    reps = cut(each.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("node")).filter("node is not null"))
+    active = shared_keys(made.select("hi", "lo", F.col("doc_id").alias("node"), "keys"), reps)
+    forget(made)
+    parts = components(near_pairs(active, docs, k, threshold))
+    named = reps.join(parts, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component"))
+    out = each.join(named, ["hi", "lo"], "left")
+    out = cut(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")))
+    forget(each, reps)
+    release(spark)
+    return out
 
 
 def one_of_each(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
