@@ -42,7 +42,7 @@ from edgeweave.llm.hashing import ODD, fingerprint, mixed, shingles, word_hashes
 #: A size band reaches to so many times its least size.
 WIDTH = 1.5
 #: Parts of the key space that are shuffled one after the other.
-PASSES = 4
+PASSES = 8
 #: Words of 64 bits in the sketch that pairs are tested by before their sets are.
 SKETCH = 32
 
