@@ -1,7 +1,9 @@
 """Benchmark decontamination (operator 2) by the q-gram lemma.
 
 Texts are compared as their letters and digits, lower-cased.  An item is cut into overlapping segments of LENGTH
-characters (a shorter item is one segment).  A place where a segment of m characters occurs with at most
+characters (a shorter item is one segment), and also into short ones of SHORT characters, one every FINE, so that
+every exact quote of QUOTE characters of an item holds a whole segment; an item of under SHORT characters is found
+whole only.  A place where a segment of m characters occurs with at most
 e = m * EDITS edits shares m + 1 - q * (e + 1) q-grams with it inside a parallelogram of e + 1 diagonals.
 
 1. A text's q-grams are looked up in a bitmap of all benchmark q-grams; where no window of a segment's length has
@@ -35,6 +37,10 @@ from edgeweave.llm.hashing import ODD, mixed
 Q = 9
 LENGTH = 128
 STEP = 32
+SHORT = 48
+FINE = 8
+#: Letters and digits of an item from which any exact quote of it is found.
+QUOTE = SHORT + FINE - 1
 EDITS = 0.08
 SPAN = 16
 BITS = 21
@@ -74,6 +80,12 @@ def grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
         power, width = power * power, 2 * width
 
 
+def segments(n: int, m: int, step: int) -> tuple[int, int, int, np.ndarray]:
+    """Of an item of n characters: length, edits, the lemma's number of hits, and starts of its segments."""
+    e = max(0, min(int(m * EDITS), m // Q - 1))
+    return m, e, m + 1 - Q * (e + 1), np.array(sorted({*range(0, n - m + 1, step), n - m}))
+
+
 class Index:
     """Segments of benchmark items and where each q-gram of an item stands."""
 
@@ -84,12 +96,11 @@ class Index:
             codes, _ = letters(text or "")
             if len(codes) < Q:
                 continue
-            m, t = min(len(codes), LENGTH), len(self.ids)
-            e = max(0, min(int(m * EDITS), m // Q - 1))
-            starts = sorted({*range(0, len(codes) - m + 1, STEP), len(codes) - m})
+            t = len(self.ids)
+            kinds = [(min(len(codes), LENGTH), STEP)] + [(SHORT, FINE)] * (len(codes) > SHORT)
             self.ids.append(ident)
             self.codes.append(codes)
-            self.segments.append((m, e, m + 1 - Q * (e + 1), np.array(starts)))
+            self.segments.append([segments(len(codes), m, step) for m, step in kinds])
             hashes.append(grams(codes))
             owner.append(np.full(len(hashes[-1]), t))
             place.append(np.arange(len(hashes[-1])))
@@ -100,9 +111,12 @@ class Index:
         self.owner, self.place = (np.concatenate(x)[order] if x else empty for x in (owner, place))
         self.bitmap = np.zeros(1 << BITS, dtype=bool)
         self.bitmap[(self.hashes >> np.uint64(64 - BITS)).astype(np.int64)] = True
-        self.least = min((s[2] for s in self.segments), default=1)
-        self.reach = max((s[0] + s[1] for s in self.segments), default=1)
-        self.margin = 2 * max((s[1] for s in self.segments), default=0) + SPAN
+        every = [s for item in self.segments for s in item]
+        self.reach = max((m + e for m, e, *_ in every), default=1)
+        self.margin = 2 * max((e for _, e, *_ in every), default=0) + SPAN
+        #: (reach, least) of the long and of the short segments.
+        kinds = [[item[k] for item in self.segments if len(item) > k] for k in (0, 1)]
+        self.windows = [(max(m + e for m, e, *_ in kind), min(least for _, _, least, _ in kind)) for kind in kinds if kind]
 
     def regions(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item, start, end, edits) in code points of the text, merged where regions of one item overlap."""
@@ -131,14 +145,14 @@ class Index:
         h = grams(codes)
         maybe = self.bitmap[(h >> np.uint64(64 - BITS)).astype(np.int64)]
         sums = np.concatenate(([0], np.cumsum(maybe, dtype=np.int32)))
-        dense = sums[np.minimum(np.arange(len(h)) + self.reach, len(h))] - sums[:-1] >= self.least
-        if not dense.any():
-            return
         # Positions in a dense window: a start of one within the reach before them.
         edge = np.zeros(len(h) + 1, dtype=np.int32)
-        starts = np.flatnonzero(dense)
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, np.minimum(starts + self.reach, len(h)), -1)
+        for reach, least in self.windows:
+            starts = np.flatnonzero(sums[np.minimum(np.arange(len(h)) + reach, len(h))] - sums[:-1] >= least)
+            np.add.at(edge, starts, 1)
+            np.add.at(edge, np.minimum(starts + reach, len(h)), -1)
+        if not edge.any():
+            return
         pos = np.flatnonzero(maybe & (np.cumsum(edge[:-1]) > 0))
         first, last = np.searchsorted(self.hashes, h[pos], "left"), np.searchsorted(self.hashes, h[pos], "right")
         n = last - first
@@ -149,11 +163,12 @@ class Index:
         item, place, pos = item[order], place[order], pos[order]
         cuts = np.flatnonzero(np.diff(item)) + 1
         for a, b in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(item)])), strict=True):
-            if b - a >= (self.segments[item[a]][2] if b > a else 1):
-                yield from self._item(int(item[a]), codes, pos[a:b], place[a:b])
+            for kind in self.segments[item[a]] if b > a else ():
+                if b - a >= kind[2]:
+                    yield from self._item(int(item[a]), kind, codes, pos[a:b], place[a:b])
 
-    def _item(self, item: int, codes: np.ndarray, pos: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        m, e, least, starts = self.segments[item]
+    def _item(self, item: int, kind: tuple[int, int, int, np.ndarray], codes: np.ndarray, pos: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        m, e, least, starts = kind
         diagonal = pos - place + len(self.codes[item])  # from 0 up
         band = diagonal // SPAN
         # A band also holds the e diagonals after its span.

@@ -115,6 +115,21 @@ def test_contamination(spark):
     assert decontaminate.contaminated_regions(docs_of(spark, []), bench.limit(0)).count() == 0
 
 
+def test_quotes_of_the_least_length_are_found():
+    item = prose(50, 120)
+    flat, _ = decontaminate.letters(item)
+    index = decontaminate.Index([(7, item), (8, prose(52, 17))])
+    for start in range(0, len(flat) - decontaminate.QUOTE + 1, 11):  # all remainders by FINE
+        quote = "".join(map(chr, flat[start : start + decontaminate.QUOTE]))
+        around = f"{prose(61, 40)} zz {quote} zz {prose(62, 40)}"
+        assert [index.ids[r[0]] for r in index.regions(around)] == [7], start
+        a, b, e = index.regions(around)[0][1:]
+        assert around.index(quote) - 12 <= a < b <= around.index(quote) + len(quote) + 12 and b - a >= decontaminate.SHORT - e
+    assert index.regions(prose(63, 3000)) == []
+    part = "".join(map(chr, decontaminate.letters(prose(52, 17))[0][:50]))
+    assert [index.ids[r[0]] for r in index.regions(f"{prose(64, 40)} {part} {prose(65, 40)}")] == [8]
+
+
 def test_banded_alignment_is_edit_distance():
     r = np.random.default_rng(3)
     for trial in range(25):
