@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeweave.llm import bit_codes, chat_format, decontaminate, language_id, main_text, mixing, parity_join, secret_ledger, sharding, toxicity
-from edgeweave.llm.common import table
+from edgeweave.llm.common import cut, table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
@@ -30,8 +30,10 @@ def op4_text_to_tag_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.mix(docs)
+    """The mixture of whole documents, written in its order; the columns are those of the SQL."""
+    docs = table(spark, sf_dir, "documents")
+    mixture = cut(mixing.replicate(docs, cut(mixing.rates(docs))))
+    return mixture.select("doc_id", "source", "n_copies", "copy", "mix_key")
 
 
 def op6_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:

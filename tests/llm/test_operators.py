@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from edgeweave.llm import bit_codes, chat_format, common, decontaminate, graph, hashing, language_id, main_text, mixing, parity_join, secret_ledger, sharding, toxicity
+from edgeweave.llm import bit_codes, chat_format, common, decontaminate, graph, hashing, language_id, main_text, mixing, parity_join, queries, secret_ledger, sharding, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -253,6 +253,17 @@ def test_poisson_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_the_mixing_query_shuffles_whole_documents(spark, tmp_path, monkeypatch):
+    docs_of(spark, [f"text {i}" for i in range(50)]).write.parquet(f"{tmp_path}/documents.parquet")
+    written, put = [], common.cut
+    monkeypatch.setattr(queries, "cut", lambda df: written.append(put(df)) or written[-1], raising=False)
+    out = queries.op5_poisson_mix(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "source", "n_copies", "copy", "mix_key"]
+    mixture = written[-1]
+    assert mixture.columns[:5] == DOCS_COLUMNS and mixture.count() == out.count() > 0
+    assert all(r["text"] == f"text {r['doc_id']}" and r["n_chars"] == len(r["text"]) for r in mixture.collect())
+
+
 # 6 -------------------------------------------------------------------------------------------------------------
 
 def test_shards(spark):
