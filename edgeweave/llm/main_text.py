@@ -6,7 +6,7 @@ standard deviation of the smoothed ratios form the content clusters (Weninger et
 holds the clusters' text is the content region: the article or main element with most of it, else the innermost
 element with the better part of it.  Its lines are the text, but for those in menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, hidden elements and reader comments, as tags, roles, classes and ids name
-them.  A short paragraph between long ones thus stays, and a long advert does not.
+them; a form or a name does not leave out what holds the article, nor all there is.  A short paragraph between long ones thus stays, and a long advert does not.
 
 Defined cases: null and empty html give an empty text; character references are decoded; white space in a block is
 one space; unclosed and wrongly closed tags end with the element around them; a page without any cluster gives the
@@ -34,7 +34,7 @@ BLOCK = frozenset(
 )
 #: Elements that never hold article text, wherever they stand.
 NEVER = frozenset(
-    "applet area aside audio button canvas datalist dialog embed footer form frame frameset head iframe input link map menu meta nav noframes noscript "
+    "applet area aside audio button canvas datalist dialog embed footer frame frameset head iframe input link map menu meta nav noframes noscript "
     "object option script select style svg template textarea title video".split()
 )
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -45,8 +45,15 @@ NAMES = frozenset(
     "pagination paywall popup promo promotion promotions recommended related replies respond search share sharing sidebar sidebars signup skyscraper social "
     "sponsor sponsored sponsors subscribe subscription toolbar topbar tracking widget widgets".split()
 )
+#: What follows one of these in a name is not what the element is.
+MODIFIERS = frozenset(["has", "no", "with", "without"])
+#: These count as whole names only.
+ALONE = frozenset(["widget", "widgets"])
+#: In an article, these name parts of it.
+SECTIONS = frozenset(["alert", "notice", "notices"])
 #: Named so outside an article only: an article's own header holds its heading.
 HEADERS = frozenset(["header", "headers"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WHOLE = frozenset(["html", "body", "article", "main"])
 #: What a start tag closes if it is open in the same element.
 CLOSES = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
@@ -64,47 +71,62 @@ def named_away(tag: str, attrs: dict[str, str | None], inside: bool) -> bool:
         return True
     if (attrs.get("role") or "").strip().lower() in ROLES:
         return True
-    camel = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class') or ''} {attrs.get('id') or ''}")
-    words = set(_WORDS.split(camel.lower()))
-    return bool(words & NAMES) or (not inside and bool(words & HEADERS))
+    return False
+
+
+def marked(tag: str, attrs: dict[str, str | None], inside: bool) -> bool:
+    """Whether a form or a word of a class or id marks the element, which ``held`` may overrule."""
+    if tag == "form":
+        return True
+    if tag in WHOLE and not (tag == "article" and inside):
+        return False
+    names = NAMES - SECTIONS if inside else NAMES | HEADERS
+    for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+        words = [w for w in _WORDS.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+        words = words[: next((i for i, w in enumerate(words) if w in MODIFIERS), len(words))]
+        if any(w in names and not (w in ALONE and len(words) > 1) and not (w == "related" and words[i + 1 : i + 2] in (["work"], ["works"])) for i, w in enumerate(words)):
+            return True
+    return False
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, elements from the outside in, whether named away) for each line."""
+    """Collects (text pieces with the marked elements around each, tags, elements from the outside in, whether named away) for each line."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        #: Tag, number, whether it or one around it is named away, and whether that one stands inside a line.
-        self.stack: list[tuple[str, int, bool, bool]] = []
-        self.lines: list[tuple[str, int, tuple[tuple[str, int], ...], bool]] = []
-        self.text: list[str] = []
+        #: Tag, number, whether it or one around it is named away, whether that one stands inside a line, and the marked ones from the outside in.
+        self.stack: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []
+        self.lines: list[tuple[list[tuple[str, tuple[int, ...]]], int, tuple[tuple[str, int], ...], bool]] = []
+        self.text: list[tuple[str, tuple[int, ...]]] = []
         self.tags, self.n = 0, 0
 
     def end_line(self) -> None:
-        text = " ".join("".join(self.text).split())
-        if text:
-            self.lines.append((text, self.tags, tuple((t, i) for t, i, *_ in self.stack if t in BLOCK), bool(self.stack) and self.stack[-1][2]))
+        if joined(self.text):
+            self.lines.append((self.text, self.tags, tuple((t, i) for t, i, *_ in self.stack if t in BLOCK), bool(self.stack) and self.stack[-1][2]))
             self.tags = 0
-        self.text.clear()
+        self.text = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self.end_line()
         self.tags += 1
         if tag == "br":
-            self.text.append(" ")
+            self.text.append((" ", self.stack[-1][4] if self.stack else ()))
         if tag in VOID:
             return
         for open_tag in CLOSES.get(tag, "").split():
             self.shut(open_tag, within=True)
         if tag in BLOCK and tag not in ("p", "head", "html", "body"):
             self.shut("p", within=True)
-        away = bool(self.stack) and self.stack[-1][2]
-        if not away:
-            away = named_away(tag, dict(attrs), any(t in ("article", "main") for t, *_ in self.stack))
-        around = self.stack[-1] if self.stack else ("", 0, False, False)
+        around = self.stack[-1] if self.stack else ("", 0, False, False, ())
         self.n += 1
-        self.stack.append((tag, self.n, away, around[3] or (away and not around[2] and tag not in BLOCK)))
+        away, marks = around[2], around[4]
+        if not away:
+            inside = any(t in ("article", "main") for t, *_ in self.stack)
+            away = named_away(tag, dict(attrs), inside)
+            if not away and marked(tag, dict(attrs), inside):
+                marks = (*marks, self.n)
+        self.stack.append((tag, self.n, away, around[3] or (away and not around[2] and tag not in BLOCK), marks))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # as in HTML, where the slash means nothing
@@ -125,7 +147,44 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not (self.stack and self.stack[-1][3]):
-            self.text.append(data)
+            self.text.append((data, self.stack[-1][4] if self.stack else ()))
+
+
+def joined(pieces: list[tuple[str, tuple[int, ...]]], held: frozenset[int] = frozenset()) -> str:
+    """A line's text without the pieces in marked elements that are left out."""
+    return " ".join("".join(text for text, marks in pieces if not held.intersection(marks)).split())
+
+
+def held(lines: list, content: np.ndarray) -> frozenset[int]:
+    """The marked elements that are left out.
+
+    None is that holds main, or the page's articles, or outside an article 3/4 of the clusters' characters; and if
+    but headings were left, those with 3/4 of the characters are none, or else all.
+    """
+    content = content if any(yes and not away for (*_, away), yes in zip(lines, content, strict=True)) else np.ones(len(lines), dtype=bool)
+    size: dict[int, int] = {}
+    mains, articles, inner, total, free, free_article = set(), set(), set(), 0, False, False
+    for (pieces, _, path, away), yes in zip(lines, content, strict=True):
+        if away:
+            continue
+        for text, marks in pieces:
+            n = len(" ".join(text.split())) if yes else 0
+            total += n
+            for mark in marks:
+                size[mark] = size.get(mark, 0) + n
+            for tag, i in path:
+                if tag in ("article", "main"):
+                    (mains if tag == "main" else articles).update(m for m in marks if m < i)
+                    inner.update(m for m in marks if m > i)
+                    outside = not any(m < i for m in marks)
+                    free, free_article = free or outside, free_article or (outside and tag == "article")
+    large = {m for m in size if 4 * size[m] >= 3 * total}
+    none = mains | {m for m in articles if not free_article and (m not in inner or m in large)} | {m for m in large if m not in inner and not free}
+    for more in (set(), large, set(size)):
+        out = frozenset(set(size) - none - more)
+        if any(not away and joined(pieces, out) and not (path and path[-1][0] in HEADINGS) for pieces, _, path, away in lines):
+            return out
+    return frozenset()
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -166,8 +225,10 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    smooth = smoothed(np.array([len(text) / max(1, tags) for text, tags, _, _ in lines]))
+    smooth = smoothed(np.array([len(joined(pieces)) / max(1, tags) for pieces, tags, _, _ in lines]))
     content = smooth >= smooth.std()
+    out = held(lines, content)
+    lines = [(text := joined(pieces, out), tags, path, away or not text) for pieces, tags, path, away in lines]
     kept = np.array([not away for *_, away in lines])
     if not (content & kept).any():
         content = kept

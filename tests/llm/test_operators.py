@@ -227,6 +227,23 @@ def test_main_text(html, want):
     assert main_text.main_text(html) == want
 
 
+@pytest.mark.parametrize("wrapper", ["div class='content has-sidebar'", "div class='no-comments'", "div class=elementor-widget-text", "form id=aspnetForm", "div id=search", "my-app class=modal"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_a_name_around_the_article_does_not_empty_the_page(wrapper, tag):
+    html = f"<body><nav>Home</nav><{wrapper}><{tag}><p>{LONG * 3}</p><p>Short.</p></{tag}><div class=ad>{LONG}</div></{wrapper.split()[0]}><footer>{LONG}</footer>"
+    assert main_text.main_text(html) == (LONG * 3).strip() + "\nShort."
+
+
+@pytest.mark.parametrize("name", ["related-work", "notice"])
+def test_a_section_of_the_article_stays(name):
+    assert main_text.main_text(f"<article><p>{LONG}</p><section class={name}><p>Kept. {LONG}</p></section><div class=related-posts>{LONG}</div></article>") == LONG.strip() + "\nKept. " + LONG.strip()
+
+
+def test_comments_in_article_elements_stay_out():
+    html = f"<main><article><p>{LONG * 2}</p></article><section id=comments><article class=comment><p>{LONG * 9}</p></article></section></main>"
+    assert main_text.main_text(html) == (LONG * 2).strip()
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", "<p>" + "x" * 200_000), (2, None, None), (2, None, None)], "page_id long, url string, html string")
     assert sorted((r["page_id"], r["n_chars"]) for r in main_text.extract(pages).collect()) == [(1, 200_000), (2, 0), (2, 0)]
