@@ -3,8 +3,8 @@
 The standard library's parser gives events; text between two block-level tags is a line, with the number of tags
 in it.  A line's ratio of characters to tags is smoothed over its neighbours with a Gaussian; lines over the
 standard deviation of the smoothed ratios form the content clusters (Weninger et al., 2010).  The element that
-holds the clusters' text is the content region: the article or main element with most of it, else the innermost
-element with the better part of it.  Its lines are the text, but for those in menus, headers, footers, sidebars,
+holds the clusters' text is the content region: the main elements, or the articles, with some of it, else the
+innermost element around all of it, with the headings before it.  Its lines are the text, but for those in menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, hidden elements and reader comments, as tags, roles, classes and ids name
 them; a form or a name does not leave out what holds the article, nor all there is.  A short paragraph between long ones thus stays, and a long advert does not.
 
@@ -55,6 +55,8 @@ SECTIONS = frozenset(["alert", "notice", "notices"])
 HEADERS = frozenset(["header", "headers"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WHOLE = frozenset(["html", "body", "article", "main"])
+#: Too small to be the content region.
+PARTS = HEADINGS | frozenset("p li dt dd blockquote pre td th tr caption figcaption".split())
 #: What a start tag closes if it is open in the same element.
 CLOSES = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 SCOPES = frozenset("html body article main section div table ul ol dl td th blockquote aside nav header footer form".split())
@@ -194,25 +196,49 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratios, kernel)[reach : reach + len(ratios)] / weight
 
 
-def region(lines: list, chosen: np.ndarray) -> tuple[str, int] | None:
-    """The element that is the content region, by the characters of the chosen lines."""
-    size: dict[tuple[str, int], int] = {}
-    depth: dict[tuple[str, int], int] = {}
-    for (text, _, path, away), yes in zip(lines, chosen, strict=True):
-        if yes and not away:
-            for d, e in enumerate(path):
-                size[e] = size.get(e, 0) + len(text)
-                depth[e] = d
-    whole = [e for e in size if e[0] in ("article", "main")]
-    if whole:
-        articles = [e for e in whole if e[0] == "article"]
-        best = max(articles or whole, key=lambda e: (size[e], -e[1]))
-        mains = [e for e in whole if e[0] == "main"]
-        # Articles that share the text evenly are parts of what main holds.
-        return next((m for m in mains if size[m] > 2 * size[best]), best)
-    total = max(size.values(), default=0)
-    large = [e for e in size if 4 * size[e] >= 3 * total and e[0] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li")]
-    return max(large, key=lambda e: (depth[e], -e[1]), default=None)
+def around(paths: list[tuple[tuple[str, int], ...]]) -> tuple[tuple[str, int], ...]:
+    """The path of the lowest element that holds all of the paths."""
+    out = paths[0]
+    for path in paths[1:]:
+        out = out[: next((i for i, (a, b) in enumerate(zip(out, path, strict=False)) if a != b), min(len(out), len(path)))]
+    return out
+
+
+def region(lines: list, chosen: np.ndarray) -> np.ndarray:
+    """Which lines the content region has, whether named away or not.
+
+    It is the main elements with chosen lines; without such, the articles with some; else the lowest element around
+    all chosen lines.  The headings right before it belong to it, and those between and before articles too.
+    """
+    paths = [path for (_, _, path, away), yes in zip(lines, chosen, strict=True) if yes and not away]
+    if not paths:
+        return np.ones(len(lines), dtype=bool)
+    wholes = {e for path in paths for e in path if e[0] == "main"} or {e for path in paths for e in path if e[0] == "article"}
+    if wholes:
+        inside = np.array([not wholes.isdisjoint(path) for _, _, path, _ in lines])
+        box = around([path[: next(i for i, e in enumerate(path) if e in wholes)] for path in paths if not wholes.isdisjoint(path)])
+    else:
+        box = around(paths)
+        # Of a paragraph, heading, item or cell, the element around it.
+        while box and box[-1][0] in PARTS:
+            box = box[:-1]
+        inside = np.array([path[: len(box)] == box for _, _, path, _ in lines])
+        box = box[:-1]
+    last = int(np.flatnonzero(inside)[-1])
+    whole_page = not box or box[-1][0] in ("html", "body")
+    # From the first line of the region back: headings, and what stands between them and the region in the same element.
+    first = int(np.flatnonzero(inside)[0])
+    heads = [i for i in range(last) if not inside[i] and not lines[i][3] and lines[i][2][: len(box)] == box and lines[i][2] and lines[i][2][-1][0] in HEADINGS]
+    before = [i for i in heads if i < first]
+    if before and not whole_page:
+        inside[before[0] : first] |= np.array([path[: len(box)] == box for _, _, path, _ in lines[before[0] : first]])
+    elif before:
+        at = first
+        while at > 0 and (lines[at - 1][3] or at - 1 in before):
+            at -= 1
+            inside[at] = True
+    inside[[i for i in heads if i > first]] = True
+    return inside
 
 
 def main_text(html: str | None) -> str:
@@ -232,8 +258,7 @@ def main_text(html: str | None) -> str:
     kept = np.array([not away for *_, away in lines])
     if not (content & kept).any():
         content = kept
-    where = region(lines, content)
-    return "\n".join(text for text, _, path, away in lines if not away and (where is None or where in path))
+    return "\n".join(text for (text, _, _, away), inside in zip(lines, region(lines, content), strict=True) if inside and not away)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -239,6 +239,19 @@ def test_a_section_of_the_article_stays(name):
     assert main_text.main_text(f"<article><p>{LONG}</p><section class={name}><p>Kept. {LONG}</p></section><div class=related-posts>{LONG}</div></article>") == LONG.strip() + "\nKept. " + LONG.strip()
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    (f"<body><div id=content><h1>Title</h1><div class=text><p>{LONG * 3}</p><p>{LONG * 3}</p></div></div>", ["Title", LONG * 3, LONG * 3]),
+    (f"<body><div id=content><h1>Title</h1><p>By X</p><div class=text><p>{LONG * 3}</p><p>{LONG * 3}</p></div></div>", ["Title", "By X", LONG * 3, LONG * 3]),
+    (f"<body><div id=content><div><p>{LONG * 8}</p></div><div><p>{LONG * 2}</p></div></div><div class=ad>{LONG * 9}</div>", [LONG * 8, LONG * 2]),
+    (f"<body><div id=content><blockquote><p>{LONG * 9}</p></blockquote><p>{LONG * 2}</p></div>", [LONG * 9, LONG * 2]),
+    (f"<body><article><p>{LONG * 6}</p></article><div class=ad>{LONG}</div><article><p>{LONG * 4}</p></article>", [LONG * 6, LONG * 4]),
+    (f"<main><h1>Title</h1><article><p>{LONG * 6}</p></article></main>", ["Title", LONG * 6]),
+    (f"<main><h1>Title</h1><article><p>{LONG * 6}</p></article><article><p>{LONG * 4}</p></article><article><p>{LONG}</p></article></main>", ["Title", LONG * 6, LONG * 4, LONG]),
+])
+def test_the_whole_article_is_kept(html, want):
+    assert main_text.main_text(html) == "\n".join(x.strip() for x in want)
+
+
 def test_comments_in_article_elements_stay_out():
     html = f"<main><article><p>{LONG * 2}</p></article><section id=comments><article class=comment><p>{LONG * 9}</p></article></section></main>"
     assert main_text.main_text(html) == (LONG * 2).strip()
