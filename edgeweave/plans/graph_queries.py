@@ -79,7 +79,7 @@ PATH_SQL = sql.reach(sql.DEEP, sql.start("1"), 9, forward=True) + " SELECT CAST(
 
 @query(PATH_SQL)
 def shortest_path_length(spark: SparkSession, d: str) -> DataFrame:
-    path = traverse.shortest_path(views.deep_edges(spark, d), "1", "77", max_depth=9)
+    path = traverse.shortest_path(views.deep_edges(spark, d), "1", "77")
     return traverse.path_table(views.deep_edges(spark, d), path).agg(F.nullif(F.count(F.lit(1)), F.lit(0)).cast("int").alias("length"))
 
 

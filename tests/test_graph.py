@@ -5,6 +5,7 @@ import pytest
 
 from edgeweave import schema
 from edgeweave.operators import analyze, traverse
+from edgeweave.plans import graph_queries
 from edgeweave.operators.traverse import EdgeFilter
 from edgeweave.sources import store
 
@@ -107,3 +108,10 @@ def test_hunks(spark):
     assert [tuple(r) for r in store.parse_hunks(diff).orderBy("new_start").collect()] == [("f", 3, 0, True), ("f", 10, 1, False)]
     assert store.parse_name_status("R100\0a\0b\0M\0c\0") == [("R", "b", "a"), ("M", "c", None)]
     assert store.parse_porcelain("UU x\n M y\n") == [("UU", "x", True), (" M", "y", False)]
+
+
+def test_the_path_query_has_no_depth_limit(spark, monkeypatch):
+    chain = [1, *range(100, 112), 77]
+    edges = spark.createDataFrame([(str(a), str(b), "calls", "scope", "inferred") for a, b in zip(chain, chain[1:], strict=False)], "src string, dst string, relation string, evidence string, confidence string")
+    monkeypatch.setattr(graph_queries.views, "deep_edges", lambda *_: edges)
+    assert graph_queries.shortest_path_length(spark, "").first()["length"] == 13
