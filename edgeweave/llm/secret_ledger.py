@@ -15,13 +15,14 @@ repeated rows each get their row; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeweave.llm.common import text_or_empty
+from edgeweave.llm.common import shared_dir, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -99,10 +100,18 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
     return current.agg(*[F.coalesce(F.max(F.when((F.col("kind") == r.kind) & (F.col("version") == r.version), F.col("spans"))), F.array().cast(SPAN)).alias(r.kind) for r in rules])
 
 
-def secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per document: doc_id, the counts by rule, and the joined spans; see op3.  A first scan, with an empty ledger."""
-    new = scan(docs, None, rules)
-    hits = new.filter(reduce(lambda a, b: a | b, [F.size(r.kind) > 0 for r in rules]))
+def secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, at: str | None = None) -> DataFrame:
+    """One row per document: doc_id, the counts by rule, and the joined spans; see op3.
+
+    Scans what the ledger in the folder ``at`` lacks, appends it, and joins the ledger's findings back.  Without a
+    folder the ledger is a new, empty one in the shared folder.
+    """
+    spark = docs.sparkSession
+    at = at or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    empty = spark.range(0).select(F.lit("").alias("blob"), F.lit("").alias("kind"), F.lit(0).alias("version"), F.array().cast(SPAN).alias("spans"))
+    empty.write.mode("append").parquet(at)
+    ledger_rows(scan(docs, spark.read.parquet(at), rules), rules).write.mode("append").parquet(at)
+    hits = findings(docs, spark.read.parquet(at), rules)
     paths = docs.select(F.col("doc_id"), blob_of().alias("blob"))
     at = paths.join(hits, "blob", "left")
     every = F.array_sort(F.concat(*[F.coalesce(r.kind, F.array().cast(SPAN)) for r in rules]))
