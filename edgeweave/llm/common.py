@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,12 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where the session has none (a local test) a temporary one is set.
+    Only where a local session has none (as in tests) a temporary one is set.
     """
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = sc.getCheckpointDir()
+    if not where and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not where:
         where = f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
     if not sc.getCheckpointDir():
@@ -45,15 +49,18 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(nullable(df.schema)).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder, if there is one."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def forget(*frames: DataFrame) -> None:
     """Deletes the files that ``cut`` wrote for the frames, which nothing may read any more."""
     for df in frames:
-        spark = df.sparkSession
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/cut-" in folder:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
+                delete(df.sparkSession, folder)
 
 
 def release(spark: SparkSession) -> None:
@@ -66,9 +73,10 @@ def nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bounds what one Arrow batch of whole texts takes in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of so many rows at most; its bytes are bounded by the session (64 MB unless set)."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
 
 def text_or_empty(name: str = "text") -> Column:

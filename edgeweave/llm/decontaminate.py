@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeweave.llm.common import small_batches, text_or_empty
+from edgeweave.llm.common import slices, text_or_empty
 from edgeweave.llm.hashing import ODD, mixed
 
 Q = 9
@@ -250,7 +250,6 @@ def indexes(benchmark: DataFrame) -> list[Index]:
 
 def contaminated_regions(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start, end (code points of the text), edits: every region that holds a benchmark segment."""
-    small_batches(docs.sparkSession)
     out = None
     for index in indexes(benchmark):
 
@@ -267,7 +266,6 @@ def contaminated_regions(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that hold a region of any benchmark item."""
-    small_batches(docs.sparkSession)
     for index in indexes(benchmark):
         docs = docs.filter(~holder(index)(text_or_empty()))
     return docs

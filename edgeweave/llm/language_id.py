@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeweave.llm.common import small_batches, text_or_empty
+from edgeweave.llm.common import slices, text_or_empty
 from edgeweave.llm.hashing import ODD, mixed
 
 BITS = 13
@@ -129,7 +129,6 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 def fit(train: DataFrame) -> Model:
     """The model of ``train`` (doc_id, text, lang; nulls in text or lang are left out)."""
-    small_batches(train.sparkSession)
     train = train.filter("lang is not null and text is not null")
     sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
     if not sizes:
@@ -168,7 +167,6 @@ def held_out(name: str = "doc_id") -> Column:
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, rejected for every row."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,7 +178,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def named(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without the rows that the distance rejects."""
-    small_batches(docs.sparkSession)
 
     @F.pandas_udf("boolean")
     def kept(texts: pd.Series) -> pd.Series:

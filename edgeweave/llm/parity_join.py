@@ -19,23 +19,30 @@ band.  Classes that share a key are compared in three steps, none of which write
 3. every pair from 1 and 2 whose sizes and sketches allow a link is verified on the sets themselves, in integers.
 
 Components come from star rounds over the verified links.  No link between different texts is lost; classes stand
-for their copies.
+for their copies.  Sets of all documents are never stored: sketches choose the pairs, and only for these the texts
+are read again.
 
 Defined cases: a null text or one without words has n_shingles 0, is its own component and linked with nothing;
-fewer than k words make one shingle of the whole sequence; rows that repeat a doc_id share a node and each get a
-row; a null doc_id gets its class's smallest id; an empty table gives an empty result.
+fewer than k words make one shingle of the whole sequence; every row is a document of its own, also where rows repeat
+a doc_id with equal or other texts, and gets a row; a null doc_id is larger than any other, so a group of such rows
+alone has a null component; ties (a key's classes with equal support) go to the class numbered first, which changes no
+component; very long texts are hashed in pieces; further columns are ignored, or passed through by ``one_of_each``,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from edgeweave.llm.common import cut, forget, release, small_batches
+from edgeweave.llm.common import cut, delete, forget, fresh, release, shared_dir, slices, text_or_empty
 from edgeweave.llm.graph import components
 from edgeweave.llm.hashing import ODD, fingerprint, mixed, shingles, word_hashes
 
@@ -45,6 +52,9 @@ WIDTH = 1.5
 PASSES = 8
 #: Words of 64 bits in the sketch that pairs are tested by before their sets are.
 SKETCH = 32
+#: Sets that a task remembers to have given, and bits of the filter before texts are read again.
+GIVEN = 1 << 20
+FILTER = 1 << 24
 
 
 def size_bands(largest: int) -> list[int]:
@@ -116,38 +126,114 @@ class Bands:
         return placed(n, threshold, self.least)
 
 
-def keyed_sets(docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """doc_id, n, the set's fingerprint (hi, lo) and the keys of all its words, for every row."""
+def arrow_list(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
+    values = np.concatenate(arrays) if arrays else np.empty(0, dtype=np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64), pa.int64()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands()
-        for batch in batches:
-            rows = []
-            for text in batch.column("text"):
-                s = shingles(word_hashes(text.as_py()), k)
-                keys = [word_keys(s, w, needed, b) for b, w, needed in bands.of(len(s), threshold)] if len(s) else []
-                rows.append((len(s), *fingerprint(s), np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)))
-            n, hi, lo, keys = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "hi", "lo", "keys"],
-            )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, hi bigint, lo bigint, keys array<bigint>")
+#: What ``written`` gives: a row's set, a class's sketch, or (0 to PASSES - 1) a class's keys of that part.
+ROW, MARK = -1, -2
+WRITTEN = "part int, doc_id bigint, digest binary, n bigint, hi bigint, lo bigint, numbers array<bigint>"
 
 
-def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """node, size, sketch, set of the documents whose ids ``nodes`` (node) has; of a repeated id, the largest text's."""
+def written(docs: DataFrame, k: int, threshold: int) -> str:
+    """The folder of one pass over the texts, by part: every row's fingerprint, and sketches and keys of the classes.
+
+    A task gives sketch and keys of a class once, as a rule, however many of its rows have the class's set.
+    """
+    spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(word_hashes(t.as_py()), k) for t in batch.column("text")]
-            columns = [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s, SKETCH) for s in sets], pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "sketch", "set"])
+        bands, given = Bands(), set()
+        for batch in (piece for whole in batches for piece in slices(whole)):
+            marks, keys, each = [], [], []
+            for text in batch.column("text"):
+                s = shingles(word_hashes(text.as_py()), k)
+                each.append((len(s), *fingerprint(s)))
+                if len(s) and each[-1] not in given:
+                    if len(given) >= GIVEN:
+                        given.clear()
+                    given.add(each[-1])
+                    marks.append((each[-1], sketch(s, SKETCH)))
+                    keys += [(each[-1], own) for b, w, needed in bands.of(len(s), threshold) for own in by_part(word_keys(s, w, needed, b))]
+            size = len(each)
+            yield rows_of(np.full(size, ROW), batch.column("doc_id"), batch.column("digest"), each, [np.empty(0, dtype=np.int64)] * size)
+            yield rows_of(np.full(len(marks), MARK), None, None, [m for m, _ in marks], [x for _, x in marks])
+            yield rows_of(np.array([part for _, (part, _) in keys], dtype=np.int64), None, None, [m for m, _ in keys], [x for _, (_, x) in keys])
+
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    digest = F.unhex(F.md5(text_or_empty()))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), digest.alias("digest"), "text").mapInArrow(run, WRITTEN)
+    rows.write.partitionBy("part").parquet(path)
+    return path
+
+
+def by_part(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    part = (keys.view(np.uint64) % np.uint64(PASSES)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    ends = np.cumsum(np.bincount(part, minlength=PASSES))
+    for i, (a, b) in enumerate(zip(np.append(0, ends), ends, strict=False)):
+        if b > a:
+            yield i, keys[order[a:b]]
+
+
+def rows_of(part: np.ndarray, ids: pa.Array | None, digests: pa.Array | None, sets: list[tuple[int, int, int]], numbers: list[np.ndarray]) -> pa.RecordBatch:
+    n, hi, lo = zip(*sets, strict=True) if sets else ((), (), ())
+    ids = pa.nulls(len(sets), pa.int64()) if ids is None else ids
+    digests = pa.nulls(len(sets), pa.binary()) if digests is None else digests
+    columns = [pa.array(part, pa.int32()), ids, digests, pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), arrow_list(numbers)]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "digest", "n", "hi", "lo", "numbers"])
+
+
+def part_of(spark: SparkSession, path: str, part: int) -> DataFrame:
+    """The rows of one part; none if no task wrote any."""
+    schema = T.StructType([f for f in T.StructType.fromDDL(WRITTEN) if f.name != "part"])
+    try:
+        return spark.read.schema(schema).parquet(f"{path}/part={part}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def bitmap(ids: DataFrame) -> np.ndarray:
+    """FILTER bits, of which those at the hashes of the column ``doc`` are set; at most FILTER / 64 rows come to the driver."""
+    at = ids.select(id_bit("doc").alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).collect()
+    out = np.zeros(FILTER // 64, dtype=np.int64)
+    for r in words:
+        out[r["word"]] = r["bits"]
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def id_bit(name: str) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(F.col(name).cast("bigint"), F.lit(-1).cast("bigint"))), F.lit(FILTER))
+
+
+def shingle_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """node, set of the classes in ``pairs`` (a, b).
+
+    A bitmap of fixed size lets most other texts pass by unread; what else gets through it is left out by a join.
+    """
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = cut(classes.join(nodes, "node", "left_semi"))
+    bits = np.packbits(bitmap(wanted))
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(nodes, "node", "left_semi")
-    texts = texts.groupBy("node").agg(F.max("text").alias("text"))  # as the join dealt them
-    return texts.mapInArrow(run, "node bigint, size bigint, sketch array<bigint>, set array<bigint>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may = np.unpackbits(bits).astype(bool)
+        for batch in (piece for whole in batches for piece in slices(whole)):
+            rows = np.flatnonzero(may[batch.column("at").to_numpy(zero_copy_only=False)])
+            sets = [shingles(word_hashes(t.as_py()), k) for t in batch.column("text").take(pa.array(rows))]
+            marks = [fingerprint(s) for s in sets]
+            columns = [pa.array([m[i] for m in marks], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*columns, arrow_list(sets)], names=["hi", "lo", "set"])
+
+    found = docs.select(id_bit("doc_id").alias("at"), "text").mapInArrow(run, "hi bigint, lo bigint, set array<bigint>")
+    found = found.join(wanted.select("hi", "lo", "node"), ["hi", "lo"])
+    out = cut(found.groupBy("node").agg(F.first("set").alias("set")))  # equal sets, sorted
+    forget(wanted)
+    return out
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -164,25 +250,28 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.filter(100 * common >= threshold * union).select("a", "b")
 
 
-def shared_keys(keys: DataFrame, reps: DataFrame) -> DataFrame:
-    """key, node, n of the keys that n > 1 classes have.
+def shared_keys(spark: SparkSession, path: str, classes: DataFrame) -> DataFrame:
+    """key, node, n of the keys that several classes have; n is about how many.
 
-    ``keys``: hi, lo, node, keys; ``reps`` says which of these rows stand for a class.  The key space is gone through in
-    PASSES parts, one after the other, so that the disk holds one part's exchange at a time.
+    The key space is gone through in PASSES parts, one after the other.  Each reads its own files and deletes them, so
+    that the disk holds one part's exchange at a time.
     """
-    spark, out = keys.sparkSession, None
+    out = None
     for i in range(PASSES):
-        here = F.lit(i)
-        part = keys.withColumn("keys", F.filter("keys", lambda k: F.pmod(k, F.lit(PASSES)) == here)).filter(F.size("keys") > 0)  # noqa: B023
-        part = part.join(reps, ["hi", "lo", "node"], "left_semi")
+        part = part_of(spark, path, i)
         # Dealt by key once; the count and the join read the same exchange.
-        keyed = part.select("node", F.explode("keys").alias("key")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
-        shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        active = cut(keyed.join(shared.hint("shuffle_merge"), "key"))
+        keyed = part.select("hi", "lo", F.explode("numbers").alias("key")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
+        ends = [f(c).alias(f"{c}_{f.__name__}") for c in ("hi", "lo") for f in (F.min, F.max)]
+        shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *ends).filter("hi_min != hi_max or lo_min != lo_max").select("key", "n")
+        active = cut(keyed.join(shared.hint("shuffle_hash"), "key").dropDuplicates(["key", "hi", "lo"]))
         out = active if out is None else out.unionByName(active)
         del part, keyed, shared
+        delete(spark, f"{path}/part={i}")
         release(spark)
-    return out
+    nodes = cut(out.join(classes.select("hi", "lo", "node"), ["hi", "lo"]).select("key", "node", "n"))
+    forget(out)
+    release(spark)
+    return nodes
 
 
 def may_link(x: Column, y: Column, threshold: int) -> Column:
@@ -194,14 +283,14 @@ def may_link(x: Column, y: Column, threshold: int) -> Column:
     return sizes & (hamming(x["sketch"], y["sketch"]) * (100 + threshold) <= (x["size"] + y["size"]) * (100 - threshold))
 
 
-def marks_of(sets: DataFrame, node: str, mark: str) -> DataFrame:
-    return sets.select(F.col("node").alias(node), F.struct("size", "sketch").alias(mark))
+def marks_of(marks: DataFrame, node: str, mark: str) -> DataFrame:
+    return marks.select(F.col("node").alias(node), F.struct("size", "sketch").alias(mark))
 
 
-def star_pairs(active: DataFrame, centres: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def star_pairs(active: DataFrame, centres: DataFrame, marks: DataFrame, threshold: int) -> DataFrame:
     """Each class with the centre of every key that it shares, if size and sketch allow a link."""
     pairs = active.join(centres, "key").filter("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    pairs = pairs.join(marks_of(sets, "a", "x"), "a").join(marks_of(sets, "b", "y"), "b")
+    pairs = pairs.join(marks_of(marks, "a", "x"), "a").join(marks_of(marks, "b", "y"), "b")
     return pairs.filter(may_link(F.col("x"), F.col("y"), threshold)).select("a", "b")
 
 
@@ -213,54 +302,99 @@ def rest_of(active: DataFrame, centres: DataFrame, parts: DataFrame) -> DataFram
     return cut(rest.join(several, "key", "left_semi"))
 
 
-def rest_pairs(rest: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def rest_pairs(rest: DataFrame, marks: DataFrame, threshold: int) -> DataFrame:
     """The pairs of different components that share a key and whose sizes and sketches allow a link."""
-    own = rest.join(marks_of(sets, "node", "mark"), "node")
+    own = rest.join(marks_of(marks, "node", "mark"), "node")
     x, y = own.alias("x"), own.alias("y")
     close = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
     close &= may_link(F.col("x.mark"), F.col("y.mark"), threshold)
     return x.join(y, close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def near_pairs(active: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose sets, made anew from the texts, are linked."""
+    pairs = cut(pairs)
+    sets = shingle_sets(docs, pairs, classes, k)
+    release(pairs.sparkSession)
+    out = cut(verified(pairs, sets, threshold))
+    forget(pairs, sets)
+    release(pairs.sparkSession)
+    return out
+
+
+def near_pairs(active: DataFrame, marks: DataFrame, docs: DataFrame, classes: DataFrame, k: int, threshold: int) -> DataFrame:
     """Verified links (a, b) between class nodes that connect whatever all links connect."""
     spark = active.sparkSession
-    nodes = cut(active.groupBy("node").agg(F.sum("n").alias("support")))
-    sets = cut(shingle_sets(docs, nodes.select("node"), k))
-    release(spark)
-    centres = active.join(nodes, "node").groupBy("key").agg(F.max(F.struct("support", (-F.col("node")).alias("m"))).alias("c"))
+    support = active.groupBy("node").agg(F.sum("n").alias("support"))
+    centres = active.join(support, "node").groupBy("key").agg(F.max(F.struct("support", (-F.col("node")).alias("m"))).alias("c"))
     centres = cut(centres.select("key", (-F.col("c.m")).alias("centre")))
-    links = cut(verified(star_pairs(active, centres, sets, threshold), sets, threshold))
     release(spark)
+    links = confirmed(star_pairs(active, centres, marks, threshold), docs, classes, k, threshold)
     rest = rest_of(active, centres, components(links))
+    forget(active, centres)
     if not rest.isEmpty():
         release(spark)
-        more = cut(verified(rest_pairs(rest, sets, threshold), sets, threshold))
-        links = links.unionByName(more)
-    forget(active, nodes, sets, centres, rest)
+        links = links.unionByName(confirmed(rest_pairs(rest, marks, threshold), docs, classes, k, threshold))
+    forget(rest)
     release(spark)
     return links
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links of at least ``threshold`` percent."""
+def grouped(docs: DataFrame, k: int, threshold: int) -> DataFrame:
+    """doc_id, digest (MD5 of the text), n, group for every row: rows of one group are linked, however indirectly.
+
+    ``group`` is null for a row without words.
+    """
     spark = docs.sparkSession
-    small_batches(spark)
-    made = cut(keyed_sets(docs, k, threshold))
-    each = cut(made.select("doc_id", "n", "hi", "lo"))
-    reps = cut(each.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("node")).filter("node is not null"))
-    active = shared_keys(made.select("hi", "lo", F.col("doc_id").alias("node"), "keys"), reps)
-    forget(made)
-    parts = components(near_pairs(active, docs, k, threshold))
-    named = reps.join(parts, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component"))
-    out = each.join(named, ["hi", "lo"], "left")
-    out = cut(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")))
-    forget(each, reps)
+    path = written(docs, k, threshold)
+    each = part_of(spark, path, ROW).select("doc_id", "digest", "n", "hi", "lo")
+    classes = each.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))  # fixed by being written
+    active = shared_keys(spark, path, classes)
+    marks = part_of(spark, path, MARK).join(classes.select("hi", "lo", "node"), ["hi", "lo"]).join(active.select("node").distinct(), "node", "left_semi")
+    marks = cut(marks.groupBy("node").agg(F.max("n").alias("size"), F.first("numbers").alias("sketch")))  # equal ones
+    delete(spark, f"{path}/part={MARK}")
+    links = near_pairs(active, marks, docs, classes, k, threshold)
+    parts = components(links)
+    named = classes.join(parts, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("group"))
+    out = cut(each.join(named, ["hi", "lo"], "left").select("doc_id", "digest", "n", F.when(F.col("n") > 0, F.col("group")).alias("group")))
+    forget(classes, marks, links, parts)
+    delete(spark, path)
     release(spark)
     return out
 
 
+def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links of at least ``threshold`` percent."""
+    rows = grouped(docs, k, threshold)
+    least = rows.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
+    named = rows.join(least, "group", "left")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
 def one_of_each(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
-    """``docs`` without those that link, however indirectly, with a document of smaller id."""
-    extra = near_duplicates(docs, k, threshold).filter("doc_id != component_id").select(F.col("doc_id").alias("_extra"))
-    return docs.join(extra, docs["doc_id"] == extra["_extra"], "left_anti")
+    """One row of each group of linked rows: the smallest doc_id's, and of several such rows the one with the least digest.
+
+    Rows without words all stay.
+    """
+    rows = grouped(docs, k, threshold)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    least = rows.filter("group is not null").groupBy("group").agg(F.min(order).alias("least")).select("group", "least.*")
+    same = rows.alias("r").join(least.alias("l"), (F.col("r.group") == F.col("l.group")) & F.col("r.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("r.digest") == F.col("l.digest")), "left")
+    fate = same.filter("r.group is not null").groupBy("r.doc_id", "r.digest").agg(F.count("l.digest").alias("kept")).filter("kept != 1")
+    ident, digest, kept = fresh(docs, "_id", "_digest", "_kept")
+    fate = cut(fate.select(F.col("doc_id").alias(ident), F.col("digest").alias(digest), F.col("kept").alias(kept)))  # 0: goes; more: equal rows
+    hashed = docs.withColumn(digest, F.unhex(F.md5(text_or_empty())))
+    keys = hashed["doc_id"].cast("bigint").eqNullSafe(fate[ident]) & (hashed[digest] == fate[digest])
+    once = hashed.join(fate, keys, "left_anti").select(*docs.columns)
+    several = hashed.join(fate.filter(F.col(kept) > 1), keys, "left_semi")
+    if fate.filter(F.col(kept) > 1).isEmpty():
+        return once
+    whole = F.struct(*docs.columns)
+    one = several.groupBy("doc_id", digest).agg((F.first if has_map(docs.schema) else F.min)(whole).alias("_row"))
+    return once.unionByName(one.select("_row.*"))
+
+
+def has_map(schema: T.DataType) -> bool:
+    """Whether values of the type have no order."""
+    return "map<" in schema.simpleString() or "variant" in schema.simpleString()

@@ -71,6 +71,26 @@ def test_near_duplicates_of_nothing(spark):
 DOCS_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    a, z = prose(1, 200), prose(2, 200)
+    rows = [(5, a), (5, z), (6, a + " more"), (4, z + " more"), (7, a), (7, a), (8, None), (8, None), (9, ""), (None, prose(3, 50)), (None, prose(3, 50)), (12, prose(4, 30)), (12, prose(4, 30)), (12, prose(5, 30))]
+    docs = spark.createDataFrame([(i, t, "en", f"s{n}", 0) for n, (i, t) in enumerate(rows)], DOCS)
+    brute = brute_components([t for _, t in rows], 5, 80)
+    group, least = {}, {}
+    for n, (i, _) in enumerate(rows):
+        group.setdefault(brute[n][1], []).append(n)
+        least[brute[n][1]] = min((x for x in (least.get(brute[n][1]), i) if x is not None), default=None)
+    got = parity_join.near_duplicates(docs.withColumns({"key": F.lit(1), "group": F.lit(2), "numbers": F.lit(3)}), 5, 80).collect()
+    want = [(i, brute[n][0], least[brute[n][1]] if brute[n][0] else i) for n, (i, _) in enumerate(rows)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and (6, 197, 5) in want and (4, 197, 4) in want
+    odd = docs.withColumns({"group": F.lit(2), "digest": F.lit(3), "_kept": F.col("source"), "_row": F.lit(4), "n": F.lit(5)})
+    kept = parity_join.one_of_each(odd)
+    assert kept.columns == odd.columns
+    kept = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    # One row of each group, and all rows without words.
+    assert sorted(map(repr, kept)) == sorted(map(repr, [(5, a), (4, z + " more"), (8, None), (8, None), (9, ""), (None, prose(3, 50)), (12, prose(4, 30)), (12, prose(5, 30))]))
+
+
 def test_sketches_bound_the_difference():
     a, b = hashing.shingles(hashing.word_hashes(prose(1, 300)), 3), hashing.shingles(hashing.word_hashes(prose(1, 300) + " more words here"), 3)
     x, y = parity_join.sketch(a, 40).view(np.uint64), parity_join.sketch(b, 40).view(np.uint64)
