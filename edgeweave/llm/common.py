@@ -79,6 +79,12 @@ def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
+def stretch(name: str, most: int, seed: Column) -> Column:
+    """The text, or ``most`` characters of a longer one from a place that ``seed`` (a number) gives."""
+    start = F.pmod(seed, F.greatest(F.length(name) - most + 1, F.lit(1))) + 1
+    return F.substring(F.col(name), start.cast("int"), F.lit(most))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeweave.llm.common import slices, text_or_empty
-from edgeweave.llm.hashing import ODD, mixed
+from edgeweave.llm.hashing import LAST, ODD, code_points, fold, mixed
 
 Q = 9
 LENGTH = 128
@@ -48,19 +48,12 @@ BITS = 21
 PART = 4_000_000
 PIECE = 1 << 20
 
-_ALNUM, _LOWER = None, None
-
 
 def letters(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The text's letters and digits as lower-case code points, and where in the text each stands."""
-    global _ALNUM, _LOWER
-    if _ALNUM is None:
-        _ALNUM = np.array([chr(c).isalnum() for c in range(0x10000)] + [True])
-        _LOWER = np.array([ord(x) if len(x := chr(c).lower()) == 1 else c for c in range(0x10000)] + [0x10000], dtype=np.uint32)
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    low = np.minimum(codes, 0x10000)
-    at = np.flatnonzero(_ALNUM[low])
-    return np.where(codes[at] < 0x10000, _LOWER[low[at]], codes[at]), at
+    codes = fold("isalnum")[np.minimum(code_points(text), LAST)]
+    at = np.flatnonzero(codes)
+    return codes[at], at
 
 
 def grams(codes: np.ndarray, q: int = Q) -> np.ndarray:

@@ -72,6 +72,23 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(run)
 
 
+#: No letter or digit has a higher code point.
+LAST = 0x34000
+_FOLDS: dict[str, np.ndarray] = {}
+
+
+def fold(kind: str) -> np.ndarray:
+    """For each code point to LAST its lower case (the first of several), or 0 unless ``kind`` (a test of str) holds."""
+    if kind not in _FOLDS:
+        letters = [chr(c) for c in range(LAST)]
+        _FOLDS[kind] = np.array([ord(x.lower()[0]) if getattr(x, kind)() else 0 for x in letters] + [0], dtype=np.uint32)
+    return _FOLDS[kind]
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
 def fingerprint(hashes: np.ndarray) -> tuple[int, int]:
     """128 bits that stand for a set of hashes, as two signed numbers."""
     both = [np.add.reduce(mixed(hashes * ODD[i] + ODD[4])) if len(hashes) else np.uint64(0) for i in (2, 3)]

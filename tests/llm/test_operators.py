@@ -365,6 +365,49 @@ def test_language_id(spark):
     assert empty.count() == 0
 
 
+def brute_language(rows, model, text):
+    """Cosines by dictionaries of grams; the model's idf and centroids are taken as they are."""
+    grams = {}
+    flat = " " + re.sub(r"[^\W\d_]+|.", lambda m: m[0] if m[0].isalpha() else " ", (text or "").lower(), flags=re.S) + " "
+    flat = re.sub(" +", " ", flat)
+    for n in (1, 2, 3):
+        for i in range(len(flat) - n + 1):
+            if flat[i : i + n] != " ":
+                grams[flat[i : i + n]] = grams.get(flat[i : i + n], 0) + 1
+    if not flat.strip():
+        return "und"
+    v = np.zeros(1 << language_id.BITS)
+    for g, n in grams.items():
+        codes = np.array([ord(c) for c in g], dtype=np.uint64)
+        h = hashing.mixed(codes * hashing.ODD[0] + hashing.ODD[3])
+        run = h[:1]
+        for x in h[1:]:
+            run = run * hashing.ODD[1] + x
+        v[int(hashing.mixed(run)[0] >> np.uint64(64 - language_id.BITS))] += n
+    v = np.log1p(v) * model.idf
+    best = [max(float(v @ c) / float(np.linalg.norm(v)) for c in model.centroids[4 * i : 4 * i + 4]) for i in range(len(model.languages))]
+    return model.languages[int(np.argmax(best))], round(max(best), 4)
+
+
+def test_language_by_brute_force(spark):
+    r = np.random.default_rng(6)
+    vocab = {"en": "the and of with that thing", "de": "der die und nicht für schön", "got": "𐌰𐌽𐌳 𐌸𐌰𐍄 𐌹𐍃𐍄"}
+    rows = [(i, " ".join(r.choice(vocab[lang].split(), 12)), lang) for i in range(90) for lang in [list(vocab)[i % 3]]]
+    df = spark.createDataFrame(rows + rows[:3] * 200, "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    texts = [t for _, t, _ in rows] + ["𐌰𐌽𐌳 𐌸𐌰𐍄", "x y z" * 9, "İ", "42 the!" * 50]
+    best, _ = model.cosines(texts)
+    for t, mine in zip(texts, best, strict=True):
+        name, top = brute_language(rows, model, t)
+        assert model.languages[mine.argmax()] == name and abs(mine.max() - top) < 1e-3
+    name, score, rejected = model.predict(["𐌰𐌽𐌳 𐌸𐌰𐍄 𐌹𐍃𐍄", "İ", "漢字仮名交じり文" * 40, "qxzj wvkq " * 60, None, "9"])
+    assert name[0] == "got" and "und" not in name[:4] and name[4:] == ["und", "und"] and score[4:] == [0.0, 0.0]
+    assert rejected == [False, True, True, True, True, True]
+    assert [len(x) for x in language_id.sample(df, {"en": 230, "de": 230, "got": 230}).values()] == [30, 30, 30]
+    empty = language_id.fit(spark.createDataFrame([(1, None, "en"), (2, "1", "de")], "doc_id long, text string, lang string"))
+    assert empty.predict(["the", None]) == (["und", "und"], [0.0, 0.0], [True, True])
+
+
 # 8 -------------------------------------------------------------------------------------------------------------
 
 def test_chat_round_trip(spark):
