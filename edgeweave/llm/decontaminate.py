@@ -13,12 +13,14 @@ e = m * EDITS edits shares m + 1 - q * (e + 1) q-grams with it inside a parallel
    the lemma's number of hits.
 3. A retained region is verified by banded alignment: the segment against the text around the band.
 
-The benchmark is held by every task, so its size is checked: it is read in parts of at most PART characters, one
-pass over the documents for each.
+The benchmark is held by every task, so its size is checked: it is dealt into parts of about PART characters, which
+are read, indexed and used one after the other, one pass over the documents for each.
 
 Defined cases: null and empty texts hold nothing; an item with fewer than q letters and digits can't be found; a
-null item_id counts as an item; repeated rows each give their regions; very long texts are read in pieces that
-overlap by more than a segment; empty tables give an empty result.
+null item_id counts as an item; repeated rows of documents each give their regions, repeated items count once; very
+long texts are read in pieces of PIECE letters and digits that overlap by more than a segment, and their hits are
+counted in portions of about HITS; of equally good placings of a segment the first counts; further columns are
+ignored, or passed through by ``uncontaminated``, whatever their names; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeweave.llm.common import slices, text_or_empty
+from edgeweave.llm.common import cut, fresh, slices, text_or_empty
 from edgeweave.llm.hashing import LAST, ODD, code_points, fold, mixed
 
 Q = 9
@@ -44,9 +46,10 @@ QUOTE = SHORT + FINE - 1
 EDITS = 0.08
 SPAN = 16
 BITS = 21
-#: Characters of the benchmark in one pass, and of a text in one piece.
+#: Characters of the benchmark in one pass, letters and digits of a text in one piece, and hits counted at a time.
 PART = 4_000_000
 PIECE = 1 << 20
+HITS = 1 << 21
 
 
 def letters(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -56,6 +59,19 @@ def letters(text: str) -> tuple[np.ndarray, np.ndarray]:
     return codes[at], at
 
 
+def pieces(text: str, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``letters`` of the text in pieces of about PIECE, each of which begins ``overlap`` letters before the last one's end."""
+    codes, at = [], []
+    for lo in range(0, len(text), PIECE):
+        c, where = letters(text[lo : lo + PIECE])
+        codes, at = [*codes, c], [*at, where + lo]
+        last = lo + PIECE >= len(text)
+        if last or sum(map(len, codes)) >= max(PIECE, 2 * overlap):
+            whole, place = np.concatenate(codes), np.concatenate(at)
+            yield whole, place
+            codes, at = [whole[-overlap:]], [place[-overlap:]]
+
+
 def grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
     """One hash for each of the q-grams, by doubling."""
     if len(codes) < q:
@@ -116,11 +132,9 @@ class Index:
         if not text or not self.ids:
             return []
         found: dict[int, list[tuple[int, int, int]]] = {}
-        step = PIECE - 4 * (self.reach + self.margin)
-        for lo in range(0, max(1, len(text)), step):
-            codes, at = letters(text[lo : lo + PIECE])
+        for codes, at in pieces(text, 4 * (self.reach + self.margin)):
             for item, start, end, edits in self._piece(codes):
-                found.setdefault(item, []).append((lo + int(at[start]), lo + int(at[end - 1]) + 1, edits))
+                found.setdefault(item, []).append((int(at[start]), int(at[end - 1]) + 1, edits))
         out = []
         for item, spans in sorted(found.items()):
             spans.sort()
@@ -148,7 +162,19 @@ class Index:
             return
         pos = np.flatnonzero(maybe & (np.cumsum(edge[:-1]) > 0))
         first, last = np.searchsorted(self.hashes, h[pos], "left"), np.searchsorted(self.hashes, h[pos], "right")
-        n = last - first
+        for a, b in self._portions(pos, last - first):
+            yield from self._hits(codes, pos[a:b], first[a:b], (last - first)[a:b])
+
+    def _portions(self, pos: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Ranges of ``pos`` with about HITS hits each; one begins before the last ends, so that any segment's hits lie whole in one."""
+        overlap, total, a = 2 * (self.reach + self.margin), np.concatenate(([0], np.cumsum(n))), 0
+        while a < len(pos):
+            b = int(np.searchsorted(total, total[a] + HITS, "right")) - 1
+            b = min(len(pos), max(b, int(np.searchsorted(pos, pos[a] + 2 * overlap))))
+            yield a, b
+            a = len(pos) if b == len(pos) else int(np.searchsorted(pos, pos[b] - overlap))
+
+    def _hits(self, codes: np.ndarray, pos: np.ndarray, first: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         pos, first = np.repeat(pos, n), np.repeat(first, n)
         row = first + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
         item, place = self.owner[row], self.place[row]
@@ -229,39 +255,46 @@ class Index:
         return (start, end, int(cost[best])) if end > start else None
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
-    """One index per part of the benchmark, each of at most about PART characters."""
-    size = benchmark.agg(F.sum(F.length(text_or_empty())).alias("n")).first()["n"] or 0
-    parts = size // PART + 1
+def parts_of(benchmark: DataFrame) -> int:
+    return (benchmark.agg(F.sum(F.length(text_or_empty())).alias("n")).first()["n"] or 0) // PART + 1
+
+
+def indexes(benchmark: DataFrame, parts: int) -> Iterator[Index]:
+    """The index of one part of the benchmark after the other."""
     dealt = benchmark.select("item_id", text_or_empty().alias("text"), F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).alias("part"))
-    out = []
     for p in range(parts):
         rows = dealt.filter(F.col("part") == p).select("item_id", "text").distinct().collect()  # about PART characters
-        out.append(Index(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))))
-    return out
+        yield Index(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
 
 
 def contaminated_regions(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start, end (code points of the text), edits: every region that holds a benchmark segment."""
-    out = None
-    for index in indexes(benchmark):
+    out, parts = None, parts_of(benchmark)
+    for index in indexes(benchmark, parts):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (piece for whole in batches for piece in slices(whole)):
                 rows = [(d.as_py(), index.ids[t], a, b, e) for d, text in zip(batch.column("doc_id"), batch.column("text"), strict=True) for t, a, b, e in index.regions(text.as_py())]
                 cols = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "start", "end", "edits"])
 
         part = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, item_id bigint, start bigint, end bigint, edits bigint")
+        part = cut(part) if parts > 1 else part  # so that no two indexes are held at once
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that hold a region of any benchmark item."""
-    for index in indexes(benchmark):
-        docs = docs.filter(~holder(index)(text_or_empty()))
-    return docs
+    parts, held = parts_of(benchmark), None
+    if parts == 1:
+        return docs.filter(~holder(next(indexes(benchmark, 1)))(text_or_empty()))
+    ident, digest = fresh(docs, "_id", "_digest")
+    hashed = docs.withColumn(digest, F.md5(text_or_empty()))
+    for index in indexes(benchmark, parts):
+        part = cut(docs.filter(holder(index)(text_or_empty())).select(F.col("doc_id").alias(ident), F.md5(text_or_empty()).alias(f"{digest}_held")))
+        held = part if held is None else held.unionByName(part)
+    return hashed.join(held, hashed["doc_id"].eqNullSafe(held[ident]) & (hashed[digest] == held[f"{digest}_held"]), "left_anti").drop(digest)
 
 
 def holder(index: Index) -> Callable[[Column], Column]:

@@ -9,8 +9,9 @@ its quota of rows exactly: linked rows first, then unlinked ones, and what is ov
 The law is ``rows``: counts of any two shards differ by one at most.
 
 Defined cases: a null text has size 8 and is a text like others (all null texts are linked, and so are all empty
-ones); null and repeated ids pass through, equal rows are interchangeable; an empty table gives an empty result;
-columns of any name pass through, new ones that clash get an underscore in front.
+ones); null and repeated ids pass through, equal rows are interchangeable; ties go to the lowest shard; of texts, also
+very long ones, only hash and size are kept; an empty table gives an empty result; columns of any name pass through,
+new ones that clash get an underscore in front.
 """
 
 from __future__ import annotations
@@ -103,9 +104,10 @@ def assign_shards(docs: DataFrame, n_shards: int = 24, hub: Column | None = None
     quotas = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     linked = pieces.groupBy("hub").agg(F.sum("n").alias("all")).filter("all > 1").select("hub")
     placed = propagate(pieces.join(linked, "hub", "left_semi"), quotas, rounds)
-    placed = placed.select(F.col("hub").alias("_p_hub"), F.col("origin").alias("_p_origin"), F.col("shard").alias("_p_shard"))
-    first = base.join(placed, (F.col(h) == F.col("_p_hub")) & (F.col(origin) == F.col("_p_origin")), "left")
-    first = first.withColumn(at, F.coalesce("_p_shard", origin)).withColumn(alone, F.col("_p_shard").isNull()).drop("_p_hub", "_p_origin", "_p_shard")
+    p_hub, p_origin, p_shard = fresh(base, "_p_hub", "_p_origin", "_p_shard")
+    placed = placed.select(F.col("hub").alias(p_hub), F.col("origin").alias(p_origin), F.col("shard").alias(p_shard))
+    first = base.join(placed, (F.col(h) == F.col(p_hub)) & (F.col(origin) == F.col(p_origin)), "left")
+    first = first.withColumn(at, F.coalesce(p_shard, origin)).withColumn(alone, F.col(p_shard).isNull()).drop(p_hub, p_origin, p_shard)
     return fill(first, quotas, at, alone, ident, rank, shard, slot).drop(h, origin, at, alone, ident, rank)
 
 

@@ -150,6 +150,74 @@ def test_quotes_of_the_least_length_are_found():
     assert [index.ids[r[0]] for r in index.regions(f"{prose(64, 40)} {part} {prose(65, 40)}")] == [8]
 
 
+def fewest_edits(a, b):
+    """As ``edits``, row by row in NumPy."""
+    at, row = np.arange(len(b) + 1), np.zeros(len(b) + 1, dtype=int)
+    for i, c in enumerate(a, 1):
+        new = np.append(i, np.minimum(row[1:] + 1, row[:-1] + (b != c)))
+        row = np.minimum.accumulate(new - at) + at
+    return int(row.min())
+
+
+def brute_holds(item, text):
+    a, b = decontaminate.letters(item)[0], decontaminate.letters(text)[0]
+    if len(a) < decontaminate.Q:
+        return False
+    kinds = [(min(len(a), decontaminate.LENGTH), decontaminate.STEP)] + [(decontaminate.SHORT, decontaminate.FINE)] * (len(a) > decontaminate.SHORT)
+    for m, step in kinds:
+        e = max(0, min(int(m * decontaminate.EDITS), m // decontaminate.Q - 1))
+        if any(fewest_edits(a[s : s + m], b) <= e for s in {*range(0, len(a) - m + 1, step), len(a) - m}):
+            return True
+    return False
+
+
+def test_contamination_by_brute_force(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    items = [prose(70, 30), prose(71, 12), "ab" * 40, "Ünïcode 𐌰𐌱 " * 8, "short one", "tiny"]
+    texts = []
+    for n in range(60):
+        t = list(items[n % 5])
+        for _ in range(n // 5):  # from none to 11 edits
+            at = int(r.integers(0, len(t)))
+            t[at : at + int(r.integers(0, 2))] = "q" * int(r.integers(0, 2))
+        a = int(r.integers(0, len(t) // 2))
+        texts.append(f"{prose(100 + n, 15)} {''.join(t[a:] if n % 2 else t)} {prose(200 + n, 15)}")
+    want = {(i, j) for i, t in enumerate(texts) for j, item in enumerate(items) if brute_holds(item, t)}
+    assert 20 < len(want) < 100
+    docs = docs_of(spark, texts, item_id=1, part=2, _id=3, _digest=4)
+    docs = docs.unionByName(docs.limit(5))
+    bench = spark.createDataFrame([*enumerate(items), (0, items[0])], "item_id long, text string")
+    for part in (decontaminate.PART, 100):
+        monkeypatch.setattr(decontaminate, "PART", part)
+        rows = decontaminate.contaminated_regions(docs, bench).collect()
+        assert {(x["doc_id"], x["item_id"]) for x in rows} == want
+        clean = decontaminate.uncontaminated(docs, bench)
+        assert {x["doc_id"] for x in clean.collect()} == set(range(60)) - {i for i, _ in want} and clean.columns == docs.columns
+
+
+def test_pieces_do_not_lose_regions(monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", 3000)
+    item = prose(50, 60)
+    flat = "".join(map(chr, decontaminate.letters(item)[0]))
+    index = decontaminate.Index([(7, item)])
+    for spread, before in ((item, 2900), ("    ".join(flat[:128]), 2700), ((" " * 40).join(flat[:128]), 100), (item, 5800)):
+        text = "é-" * (before // 2) + spread + " 1" * 3000
+        (got,) = index.regions(text)
+        assert text[got[1] : got[2]] == spread, before
+
+
+def test_repeated_letters_take_bounded_memory():
+    import tracemalloc
+
+    index = decontaminate.Index([(1, "a" * 200), (2, prose(3, 40))])
+    text = "b " + "a" * 30_000 + " c"
+    tracemalloc.start()
+    (got,) = index.regions(text)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[:2] == (0, 2) and 30_002 - decontaminate.SPAN < got[2] <= 30_002 and got[3] == 0 and most < 400e6
+
+
 def test_banded_alignment_is_edit_distance():
     r = np.random.default_rng(3)
     for trial in range(25):
@@ -341,6 +409,8 @@ def test_shards(spark):
     assert all(r["text_crc32"] == zlib.crc32((texts[r["doc_id"]] or "").encode()) and r["law"] == "rows" for r in rows)
     few = sharding.assign_shards(docs_of(spark, ["a", "a", None], shard=1, _hub=2), 24)
     assert few.count() == 3 and {"shard", "_shard", "slot"} <= set(few.columns)
+    odd = sharding.assign_shards(docs_of(spark, ["a", "a", None, "x" * 10**6], _p_hub=1, _p_origin=2, _p_shard=3, _hub=4, _bucket=5, slot=6), 2)
+    assert odd.count() == 4 and {"_p_hub", "_p_origin", "_p_shard", "_slot"} <= set(odd.columns)
     assert sharding.shard_table(docs_of(spark, [])).count() == 0
 
 
