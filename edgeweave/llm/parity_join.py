@@ -52,7 +52,7 @@ WIDTH = 1.5
 PASSES = 8
 #: Words of 64 bits in the sketch that pairs are tested by before their sets are.
 SKETCH = 32
-#: Sets that a task remembers to have given, and bits of the filter before texts are read again.
+#: Sets that a task remembers to have given, and bits of the filter that spares texts a join.
 GIVEN = 1 << 20
 FILTER = 1 << 24
 
@@ -197,40 +197,35 @@ def part_of(spark: SparkSession, path: str, part: int) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def bitmap(ids: DataFrame) -> np.ndarray:
-    """FILTER bits, of which those at the hashes of the column ``doc`` are set; at most FILTER / 64 rows come to the driver."""
-    at = ids.select(id_bit("doc").alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).collect()
-    out = np.zeros(FILTER // 64, dtype=np.int64)
-    for r in words:
-        out[r["word"]] = r["bits"]
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+def flagged(docs: DataFrame, ids: DataFrame, flag: str) -> DataFrame:
+    """``docs`` with a column that is true wherever the doc_id may be one of ``ids`` (doc), and false elsewhere for most others.
 
-
-def id_bit(name: str) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(F.col(name).cast("bigint"), F.lit(-1).cast("bigint"))), F.lit(FILTER))
+    The filter is a bitmap of FILTER bits at the ids' hashes, as FILTER / 64 rows at most, which are broadcast.
+    """
+    at, word, bits = fresh(docs, "_at", "_word", "_bits")
+    spot = lambda name: F.pmod(F.xxhash64(F.coalesce(F.col(name).cast("bigint"), F.lit(-1).cast("bigint"))), F.lit(FILTER))
+    of_word = ids.select(spot("doc").alias("at")).groupBy(F.shiftright("at", 6).alias(word)).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias(bits))
+    found = docs.withColumn(at, spot("doc_id")).withColumn(word, F.shiftright(at, 6)).join(F.broadcast(cut(of_word)), word, "left")
+    return found.withColumn(flag, F.coalesce(F.expr(f"shiftright({bits}, cast({at} & 63 as int)) & 1 = 1"), F.lit(False))).drop(at, word, bits)
 
 
 def shingle_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """node, set of the classes in ``pairs`` (a, b).
 
-    A bitmap of fixed size lets most other texts pass by unread; what else gets through it is left out by a join.
+    Only texts whose doc_id may be a class's smallest are read; what else comes along is left out by a join.
     """
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = cut(classes.join(nodes, "node", "left_semi"))
-    bits = np.packbits(bitmap(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may = np.unpackbits(bits).astype(bool)
         for batch in (piece for whole in batches for piece in slices(whole)):
-            rows = np.flatnonzero(may[batch.column("at").to_numpy(zero_copy_only=False)])
-            sets = [shingles(word_hashes(t.as_py()), k) for t in batch.column("text").take(pa.array(rows))]
+            sets = [shingles(word_hashes(t.as_py()), k) for t in batch.column("text")]
             marks = [fingerprint(s) for s in sets]
             columns = [pa.array([m[i] for m in marks], pa.int64()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*columns, arrow_list(sets)], names=["hi", "lo", "set"])
 
-    found = docs.select(id_bit("doc_id").alias("at"), "text").mapInArrow(run, "hi bigint, lo bigint, set array<bigint>")
-    found = found.join(wanted.select("hi", "lo", "node"), ["hi", "lo"])
+    texts = flagged(docs.select("doc_id", "text"), wanted, "may").filter("may").select("text")
+    found = texts.mapInArrow(run, "hi bigint, lo bigint, set array<bigint>").join(wanted.select("hi", "lo", "node"), ["hi", "lo"])
     out = cut(found.groupBy("node").agg(F.first("set").alias("set")))  # equal sets, sorted
     forget(wanted)
     return out
@@ -382,14 +377,17 @@ def one_of_each(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     least = rows.filter("group is not null").groupBy("group").agg(F.min(order).alias("least")).select("group", "least.*")
     same = rows.alias("r").join(least.alias("l"), (F.col("r.group") == F.col("l.group")) & F.col("r.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("r.digest") == F.col("l.digest")), "left")
     fate = same.filter("r.group is not null").groupBy("r.doc_id", "r.digest").agg(F.count("l.digest").alias("kept")).filter("kept != 1")
-    ident, digest, kept = fresh(docs, "_id", "_digest", "_kept")
+    ident, digest, kept, may = fresh(docs, "_id", "_digest", "_kept", "_may")
     fate = cut(fate.select(F.col("doc_id").alias(ident), F.col("digest").alias(digest), F.col("kept").alias(kept)))  # 0: goes; more: equal rows
-    hashed = docs.withColumn(digest, F.unhex(F.md5(text_or_empty())))
-    keys = hashed["doc_id"].cast("bigint").eqNullSafe(fate[ident]) & (hashed[digest] == fate[digest])
-    once = hashed.join(fate, keys, "left_anti").select(*docs.columns)
-    several = hashed.join(fate.filter(F.col(kept) > 1), keys, "left_semi")
-    if fate.filter(F.col(kept) > 1).isEmpty():
+    # Only rows that the filter does not clear meet the fates.
+    hashed = flagged(docs.withColumn(digest, F.unhex(F.md5(text_or_empty()))), fate.select(F.col(ident).alias("doc")), may)
+    rest = hashed.filter(F.col(may))
+    keys = rest["doc_id"].cast("bigint").eqNullSafe(fate[ident]) & (rest[digest] == fate[digest])
+    once = hashed.filter(~F.col(may)).select(*docs.columns).unionByName(rest.join(fate, keys, "left_anti").select(*docs.columns))
+    equal = fate.filter(F.col(kept) > 1)
+    if equal.isEmpty():
         return once
+    several = rest.join(equal, keys, "left_semi")
     whole = F.struct(*docs.columns)
     one = several.groupBy("doc_id", digest).agg((F.first if has_map(docs.schema) else F.min)(whole).alias("_row"))
     return once.unionByName(one.select("_row.*"))
