@@ -4,20 +4,26 @@ The standard library's parser gives events; text between two block-level tags is
 in it.  A line's ratio of characters to tags is smoothed over its neighbours with a Gaussian; lines over the
 standard deviation of the smoothed ratios form the content clusters (Weninger et al., 2010).  The element that
 holds the clusters' text is the content region: the main elements, or the articles, with some of it, else the
-innermost element around all of it, with the headings before it.  Its lines are the text, but for those in menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, hidden elements and reader comments, as tags, roles, classes and ids name
-them; a form or a name does not leave out what holds the article, nor all there is.  A short paragraph between long ones thus stays, and a long advert does not.
+innermost element around all of it, with the headings before it.  The text goes from the region's first cluster to its
+last, and on at both ends as long as lines have LOW of the threshold at least; so short paragraphs stay, and what is
+all tags and hardly a letter does not.  Tags, roles, classes and ids correct this: lines in menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles, hidden elements and reader comments are left out; a form or a name
+does not leave out what holds the article, nor all there is.
 
 Defined cases: null and empty html give an empty text; character references are decoded; white space in a block is
-one space; unclosed and wrongly closed tags end with the element around them; a page without any cluster gives the
-lines of its article or main element, or all that are not named as above; whole pages are read; repeated rows each
-get their row; an empty table gives an empty result.
+one space; unclosed and wrongly closed tags end with the element around them; a declaration that HTML does not know is
+a comment; where the parser gives up, what it read until then counts; a page without any cluster gives the lines of
+its article or main element, or all that are not named as above; ties (a line right at the threshold) are in; whole
+pages are read, in time that does not depend on how deep elements are nested; repeated rows each get their row;
+further columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -61,6 +67,8 @@ PARTS = HEADINGS | frozenset("p li dt dd blockquote pre td th tr caption figcapt
 CLOSES = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 SCOPES = frozenset("html body article main section div table ul ol dl td th blockquote aside nav header footer form".split())
 SIGMA = 1.0
+#: At the ends of the region a line is in if its smoothed ratio is over so much of the bar.
+LOW = 0.01
 _WORDS = re.compile(r"[^a-z0-9]+")
 
 
@@ -91,20 +99,28 @@ def marked(tag: str, attrs: dict[str, str | None], inside: bool) -> bool:
     return False
 
 
-class Lines(HTMLParser):
-    """Collects (text pieces with the marked elements around each, tags, elements from the outside in, whether named away) for each line."""
+class Page(HTMLParser):
+    """The page's elements, numbered from 1 in their order (0 is around all), and its lines.
+
+    Elements know what is around them, so a line needs its own element only, however deep it stands.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        #: Tag, number, whether it or one around it is named away, whether that one stands inside a line, and the marked ones from the outside in.
-        self.stack: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []
-        self.lines: list[tuple[list[tuple[str, tuple[int, ...]]], int, tuple[tuple[str, int], ...], bool]] = []
-        self.text: list[tuple[str, tuple[int, ...]]] = []
-        self.tags, self.n = 0, 0
+        self.tag, self.parent, self.end = [""], [0], [0]
+        #: Whether named away by itself or around; whether by one that stands inside a line.
+        self.away, self.mute = [False], [False]
+        #: The next element around, or the element itself, that is marked; a block; article or main. 0: none.
+        self.mark, self.block, self.whole = [0], [0], [0]
+        self.stack, self.open = [0], Counter()
+        self.lines: list[Line] = []
+        self.text: list[tuple[str, int]] = []
+        self.tags = 0
 
     def end_line(self) -> None:
-        if joined(self.text):
-            self.lines.append((self.text, self.tags, tuple((t, i) for t, i, *_ in self.stack if t in BLOCK), bool(self.stack) and self.stack[-1][2]))
+        if any(not text.isspace() for text, _ in self.text):
+            at = self.stack[-1]
+            self.lines.append(Line(self.text, self.tags, self.block[at], self.away[at]))
             self.tags = 0
         self.text = []
 
@@ -113,22 +129,30 @@ class Lines(HTMLParser):
             self.end_line()
         self.tags += 1
         if tag == "br":
-            self.text.append((" ", self.stack[-1][4] if self.stack else ()))
+            self.text.append((" ", self.mark[self.stack[-1]]))
         if tag in VOID:
             return
         for open_tag in CLOSES.get(tag, "").split():
             self.shut(open_tag, within=True)
         if tag in BLOCK and tag not in ("p", "head", "html", "body"):
             self.shut("p", within=True)
-        around = self.stack[-1] if self.stack else ("", 0, False, False, ())
-        self.n += 1
-        away, marks = around[2], around[4]
+        around, n = self.stack[-1], len(self.tag)
+        away, mark = self.away[around], self.mark[around]
         if not away:
-            inside = any(t in ("article", "main") for t, *_ in self.stack)
+            inside = self.whole[around] > 0
             away = named_away(tag, dict(attrs), inside)
             if not away and marked(tag, dict(attrs), inside):
-                marks = (*marks, self.n)
-        self.stack.append((tag, self.n, away, around[3] or (away and not around[2] and tag not in BLOCK), marks))
+                mark = n
+        self.tag.append(tag)
+        self.parent.append(around)
+        self.end.append(0)
+        self.away.append(away)
+        self.mute.append(self.mute[around] or (away and not self.away[around] and tag not in BLOCK))
+        self.mark.append(mark)
+        self.block.append(n if tag in BLOCK else self.block[around])
+        self.whole.append(n if tag in ("article", "main") else self.whole[around])
+        self.stack.append(n)
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # as in HTML, where the slash means nothing
@@ -140,53 +164,110 @@ class Lines(HTMLParser):
         self.shut(tag)
 
     def shut(self, tag: str, within: bool = False) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
+        if not self.open[tag]:
+            return
+        for i in range(len(self.stack) - 1, 0, -1):
+            here = self.tag[self.stack[i]]
+            if here == tag:
+                for n in self.stack[i:]:
+                    self.end[n] = len(self.tag) - 1
+                    self.open[self.tag[n]] -= 1
                 del self.stack[i:]
                 return
-            if within and self.stack[i][0] in SCOPES:
+            if within and here in SCOPES:
                 return
 
     def handle_data(self, data: str) -> None:
-        if not (self.stack and self.stack[-1][3]):
-            self.text.append((data, self.stack[-1][4] if self.stack else ()))
-
-
-def joined(pieces: list[tuple[str, tuple[int, ...]]], held: frozenset[int] = frozenset()) -> str:
-    """A line's text without the pieces in marked elements that are left out."""
-    return " ".join("".join(text for text, marks in pieces if not held.intersection(marks)).split())
-
-
-def held(lines: list, content: np.ndarray) -> frozenset[int]:
-    """The marked elements that are left out.
-
-    None is that holds main, or the page's articles, or outside an article 3/4 of the clusters' characters; and if
-    but headings were left, those with 3/4 of the characters are none, or else all.
+        if not self.mute[self.stack[-1]]:
+            self.text.append((data, self.mark[self.stack[-1]]))
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A declaration that HTML does not know is a comment up to the next ``>``."""
+        return self.parse_bogus_comment(i)
+
+    def read(self, html: str) -> None:
+        try:
+            self.feed(html)
+            self.close()
+        except (AssertionError, ValueError):  # the parser gives up: what was read until then counts
+            pass
+        self.end_line()
+        for n in self.stack:
+            self.end[n] = len(self.tag) - 1
+
+    def holds(self, element: int, node: int) -> bool:
+        return element <= node <= self.end[element]
+
+    def outer(self, kind: list[int], n: int) -> int:
+        """The next element of the kind (mark, block or whole) around element n."""
+        return kind[self.parent[n]] if n else 0
+
+    def chain(self, kind: list[int], starts: set[int]) -> set[int]:
+        """The elements of the kind in ``starts`` and all around them."""
+        out: set[int] = set()
+        for n in starts:
+            while n and n not in out:
+                out.add(n)
+                n = self.outer(kind, n)
+        return out
+
+    def around(self, nodes: list[int]) -> int:
+        """The lowest block that holds all of the blocks."""
+        at, last = min(nodes), max(nodes)
+        while not self.holds(at, last):
+            at = self.outer(self.block, at)
+        return at
+
+
+@dataclass
+class Line:
+    pieces: list[tuple[str, int]]  # text and the mark on it
+    tags: int
+    block: int
+    away: bool
+
+    def joined(self, left_out: frozenset[int] | set[int] = frozenset()) -> str:
+        """The text without the pieces whose mark is left out."""
+        return " ".join("".join(text for text, mark in self.pieces if mark not in left_out).split())
+
+
+def left_out(page: Page, content: np.ndarray) -> set[int]:
+    """The marks that leave their text out, by themselves or by one around them.
+
+    None does that holds main, or the page's articles, or outside an article 3/4 of the clusters' characters; and if
+    but headings were left, those with 3/4 of the characters don't, or else none.
     """
-    content = content if any(yes and not away for (*_, away), yes in zip(lines, content, strict=True)) else np.ones(len(lines), dtype=bool)
-    size: dict[int, int] = {}
-    mains, articles, inner, total, free, free_article = set(), set(), set(), 0, False, False
-    for (pieces, _, path, away), yes in zip(lines, content, strict=True):
-        if away:
-            continue
-        for text, marks in pieces:
-            n = len(" ".join(text.split())) if yes else 0
+    lines = [(line, yes) for line, yes in zip(page.lines, content, strict=True) if not line.away]
+    if not any(yes for _, yes in lines):
+        lines = [(line, True) for line, _ in lines]
+    marks = page.chain(page.mark, {m for line, _ in lines for _, m in line.pieces})
+    size, total = dict.fromkeys(marks, 0), 0
+    for line, yes in lines:
+        for text, mark in line.pieces if yes else ():
+            n = len(" ".join(text.split()))
             total += n
-            for mark in marks:
-                size[mark] = size.get(mark, 0) + n
-            for tag, i in path:
-                if tag in ("article", "main"):
-                    (mains if tag == "main" else articles).update(m for m in marks if m < i)
-                    inner.update(m for m in marks if m > i)
-                    outside = not any(m < i for m in marks)
-                    free, free_article = free or outside, free_article or (outside and tag == "article")
-    large = {m for m in size if 4 * size[m] >= 3 * total}
-    none = mains | {m for m in articles if not free_article and (m not in inner or m in large)} | {m for m in large if m not in inner and not free}
-    for more in (set(), large, set(size)):
-        out = frozenset(set(size) - none - more)
-        if any(not away and joined(pieces, out) and not (path and path[-1][0] in HEADINGS) for pieces, _, path, away in lines):
+            if mark:
+                size[mark] += n
+    for m in sorted(marks, reverse=True):
+        if up := page.outer(page.mark, m):
+            size[up] += size[m]
+    wholes = page.chain(page.whole, {page.whole[line.block] for line, _ in lines})
+    above = {w: page.outer(page.mark, w) for w in wholes}
+    mains = page.chain(page.mark, {m for w, m in above.items() if page.tag[w] == "main"})
+    articles = page.chain(page.mark, {m for w, m in above.items() if page.tag[w] == "article"})
+    free = any(not m for m in above.values())
+    free_article = any(not m and page.tag[w] == "article" for w, m in above.items())
+    inner = {m for m in marks if page.outer(page.whole, m)}
+    large = {m for m in marks if 4 * size[m] >= 3 * total}
+    stays = mains | {m for m in articles if not free_article and (m not in inner or m in large)} | {m for m in large if m not in inner and not free}
+    for more in (set(), large, marks):
+        out: set[int] = set()
+        for m in sorted(marks):
+            if m not in stays | more or page.outer(page.mark, m) in out:
+                out.add(m)
+        if any(line.joined(out) and page.tag[line.block] not in HEADINGS for line, _ in lines):
             return out
-    return frozenset()
+    return set()
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -196,76 +277,89 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratios, kernel)[reach : reach + len(ratios)] / weight
 
 
-def around(paths: list[tuple[tuple[str, int], ...]]) -> tuple[tuple[str, int], ...]:
-    """The path of the lowest element that holds all of the paths."""
-    out = paths[0]
-    for path in paths[1:]:
-        out = out[: next((i for i, (a, b) in enumerate(zip(out, path, strict=False)) if a != b), min(len(out), len(path)))]
-    return out
-
-
-def region(lines: list, chosen: np.ndarray) -> np.ndarray:
-    """Which lines the content region has, whether named away or not.
+def region(page: Page, kept: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Which lines the content region has, whether kept or not.
 
     It is the main elements with chosen lines; without such, the articles with some; else the lowest element around
     all chosen lines.  The headings right before it belong to it, and those between and before articles too.
     """
-    paths = [path for (_, _, path, away), yes in zip(lines, chosen, strict=True) if yes and not away]
-    if not paths:
+    lines = page.lines
+    blocks = [line.block for line, yes in zip(lines, chosen & kept, strict=True) if yes]
+    if not blocks:
         return np.ones(len(lines), dtype=bool)
-    wholes = {e for path in paths for e in path if e[0] == "main"} or {e for path in paths for e in path if e[0] == "article"}
+    every = page.chain(page.whole, {page.whole[n] for n in blocks})
+    wholes = {w for w in every if page.tag[w] == "main"} or every
+    within = lambda box: np.array([page.holds(box, line.block) for line in lines])
     if wholes:
-        inside = np.array([not wholes.isdisjoint(path) for _, _, path, _ in lines])
-        box = around([path[: next(i for i, e in enumerate(path) if e in wholes)] for path in paths if not wholes.isdisjoint(path)])
+        outermost: list[int] = []
+        for w in sorted(wholes):
+            if not outermost or not page.holds(outermost[-1], w):
+                outermost.append(w)
+        starts, ends = np.array(outermost), np.array([page.end[w] for w in outermost])
+        at = np.array([line.block for line in lines])
+        own = np.searchsorted(starts, at, side="right") - 1
+        inside = (own >= 0) & (at <= ends[np.maximum(own, 0)])
+        box = page.around([page.outer(page.block, w) for w in outermost])
     else:
-        box = around(paths)
+        box = page.around(blocks)
         # Of a paragraph, heading, item or cell, the element around it.
-        while box and box[-1][0] in PARTS:
-            box = box[:-1]
-        inside = np.array([path[: len(box)] == box for _, _, path, _ in lines])
-        box = box[:-1]
-    last = int(np.flatnonzero(inside)[-1])
-    whole_page = not box or box[-1][0] in ("html", "body")
+        while page.tag[box] in PARTS:
+            box = page.outer(page.block, box)
+        inside = within(box)
+        box = page.outer(page.block, box)
+    near = within(box)
+    first, last = np.flatnonzero(inside)[[0, -1]]
     # From the first line of the region back: headings, and what stands between them and the region in the same element.
-    first = int(np.flatnonzero(inside)[0])
-    heads = [i for i in range(last) if not inside[i] and not lines[i][3] and lines[i][2][: len(box)] == box and lines[i][2] and lines[i][2][-1][0] in HEADINGS]
-    before = [i for i in heads if i < first]
-    if before and not whole_page:
-        inside[before[0] : first] |= np.array([path[: len(box)] == box for _, _, path, _ in lines[before[0] : first]])
-    elif before:
+    heads = np.array([page.tag[line.block] in HEADINGS for line in lines]) & near & ~inside & kept
+    heads[last:] = False
+    before = np.flatnonzero(heads[:first])
+    if len(before) and page.tag[box] not in ("", "html", "body"):
+        inside[before[0] : first] |= near[before[0] : first]
+    elif len(before):
         at = first
-        while at > 0 and (lines[at - 1][3] or at - 1 in before):
+        while at > 0 and (not kept[at - 1] or heads[at - 1]):
             at -= 1
             inside[at] = True
-    inside[[i for i in heads if i > first]] = True
+    inside[first:] |= heads[first:]
     return inside
 
 
+def reached(smooth: np.ndarray, bar: float, lines: np.ndarray) -> np.ndarray:
+    """Of the region's lines, those from its first cluster to its last, and around these what is over LOW of the bar."""
+    strong = np.flatnonzero(smooth[lines] >= bar)
+    if not len(strong):
+        return lines
+    first, last, weak = strong[0], strong[-1], smooth[lines] >= LOW * bar
+    while first > 0 and weak[first - 1]:
+        first -= 1
+    while last + 1 < len(lines) and weak[last + 1]:
+        last += 1
+    return lines[first : last + 1]
+
+
 def main_text(html: str | None) -> str:
-    if not html:
-        return ""
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    parser.end_line()
-    lines = parser.lines
-    if not lines:
+    page = Page()
+    page.read(html or "")
+    if not page.lines:
         return ""
-    smooth = smoothed(np.array([len(joined(pieces)) / max(1, tags) for pieces, tags, _, _ in lines]))
-    content = smooth >= smooth.std()
-    out = held(lines, content)
-    lines = [(text := joined(pieces, out), tags, path, away or not text) for pieces, tags, path, away in lines]
-    kept = np.array([not away for *_, away in lines])
+    smooth = smoothed(np.array([len(line.joined()) / max(1, line.tags) for line in page.lines]))
+    bar = smooth.std()
+    content = smooth >= bar
+    out = left_out(page, content)
+    texts = [line.joined(out) for line in page.lines]
+    kept = np.array([bool(text) and not line.away for text, line in zip(texts, page.lines, strict=True)])
     if not (content & kept).any():
         content = kept
-    return "\n".join(text for (text, _, _, away), inside in zip(lines, region(lines, content), strict=True) if inside and not away)
+    inside = np.flatnonzero(region(page, kept, content) & kept)
+    heads = [i for i in inside if page.tag[page.lines[i].block] in HEADINGS]
+    return "\n".join(texts[i] for i in sorted({*reached(smooth, bar, inside), *heads}))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every page; see op4."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole)):
             texts = [main_text(h.as_py()) for h in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

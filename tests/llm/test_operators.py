@@ -350,6 +350,53 @@ def test_the_whole_article_is_kept(html, want):
     assert main_text.main_text(html) == "\n".join(x.strip() for x in want)
 
 
+def test_the_ratios_decide(monkeypatch):
+    links = "".join("<li><a href=x><b><i>" + "<u></u>" * 40 + "</i></b></a></li>" for _ in range(3))
+    tags = "<p>" + "<b><u></u></b>" * 120 + "1</p>"
+    html = f"<body><div id=a><p>{LONG * 3}</p><p>Short.</p><p>{LONG * 2}</p><ul>{links}</ul>{tags * 6}</div><div id=b>{tags * 4}<p>x</p></div>"
+    want = "\n".join([(LONG * 3).strip(), "Short.", (LONG * 2).strip()])
+    got = main_text.main_text(html)
+    assert got.startswith(want) and got.count("1") <= 3 and "x" not in got[len(want) :]
+    real, results = main_text.smoothed, {got}
+    for seed in range(8):
+        monkeypatch.setattr(main_text, "smoothed", lambda x, seed=seed: np.random.default_rng(seed).permutation(real(x)))
+        results.add(main_text.main_text(html))
+    assert len(results) > 4
+
+
+def brute_article(html):
+    """The blocks of the only article, by patterns, where nothing in it is to be left out."""
+    inner = re.search("<article>(.*)</article>", html, re.S)[1]
+    blocks = re.findall(r"<(h1|p|li)>(.*?)</\1>", inner, re.S)
+    return "\n".join(t for t in (" ".join(re.sub("<[^>]*>", "", b).replace("&lt;", "<").replace("&amp;", "&").split()) for _, b in blocks) if t)
+
+
+def test_main_text_by_brute_force(spark):
+    r = np.random.default_rng(11)
+    rows = []
+    for i in range(60):
+        body = [f"<h1>{prose(i, 4)}</h1>"]
+        for n in r.integers(1, 60, int(r.integers(3, 12))):
+            t = prose(int(r.integers(0, 10**6)), int(n))
+            body.append([f"<p>{t}</p>", f"<p>{t[:9]} <b>{t[9:]}</b> &lt;&amp;</p>", f"<ul><li>{t}</li></ul>"][int(r.integers(0, 3))])
+        nav = "<nav>" + "<a href=x>Home</a>" * int(r.integers(1, 20)) + "</nav>"
+        rows.append((i, "u", f"<html><head><title>T</title></head><body>{nav}<header><p>{prose(i, 30)}</p></header><article>{' '.join(body)}</article><aside><p>{prose(i + 99, 80)}</p></aside><footer>{prose(i, 9)}</footer></body></html>"))
+    pages = spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string").withColumns({"text": F.lit(1), "n_chars": F.lit(2)})
+    got = main_text.extract(pages).collect()
+    assert len(got) == 61 and all(x["text"] == brute_article(rows[x["page_id"]][2]) for x in got)
+    assert main_text.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    ("<p>a <![foo[ b ]> c</p><p>d</p>", "a c\nd"),
+    ("<article><p>a<!ELEMENT x>b</p>", "ab"),
+    ("<div>x" * 20_000, "\n".join(["x"] * 20_000)),
+    ("<p>" + "<span>" * 20_000 + "y" + "</b>" * 20_000, "y"),
+])
+def test_strange_and_deep_pages(html, want):
+    assert main_text.main_text(html) == want
+
+
 def test_comments_in_article_elements_stay_out():
     html = f"<main><article><p>{LONG * 2}</p></article><section id=comments><article class=comment><p>{LONG * 9}</p></article></section></main>"
     assert main_text.main_text(html) == (LONG * 2).strip()
