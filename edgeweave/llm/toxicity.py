@@ -1,21 +1,23 @@
 """Toxicity (operator 9) by compression distance.
 
-Two zstandard dictionaries: one trained on windows of ordinary text, and one of toxic text, which holds the pieces
-of words that far more toxic than ordinary documents have, in front of the same ordinary content.  A window's
-distance is its length compressed with the ordinary dictionary less that with the toxic one: over 0 where toxic
-text explains bytes that ordinary text does not.  (Trained by zstandard alone on whole toxic documents, a
-dictionary fills with the ordinary prose around toxic words, and two such dictionaries differ by chance.)
+Two dictionaries are trained by zstandard: one on windows of ordinary text, and one on windows of toxic text, which
+is used in front of the ordinary one's content.  A window's distance is its length compressed with the ordinary
+dictionary less that with both: over 0 where toxic text explains bytes that ordinary text does not.  The windows that
+the toxic dictionary is trained on are chosen: those around words that hold a piece which far more toxic than ordinary
+documents have.  (Trained on whole toxic documents, it fills with the ordinary prose around toxic words, and two such
+dictionaries differ by chance.)
 
 A document's windows give its largest distance, the mean of the largest three, the mean, the share over a bar and
-their number; a logistic curve over these, fitted by cross-fitting (pieces from one half, distances of the other),
-is the score, moved so that the bar with the best F1 on the training rows is 0.5.
+their number; a logistic curve over these, fitted by cross-fitting (dictionaries from one half, distances of the
+other), is the score, moved so that the bar with the best F1 on the training rows is 0.5.
 
-Labels come from a bounded sample: SAMPLE training documents a class at most, chosen by a hash of the id.  Whole
-texts are scored.
+Labels come from a bounded sample: SAMPLE training documents a class at most, those with the least hashes of the id,
+and of each a stretch of SAMPLE_CHARS characters at most.  Whole texts are scored.
 
-Defined cases: a null text is an empty one, and an empty one has one empty window; repeated rows each get their
-row; a null label teaches nothing; with no training rows of one class every score is 0; an empty table gives an
-empty result.
+Defined cases: a null text is an empty one, and an empty one has one empty window; very long texts are scored window
+by window; repeated rows each get their row; a null label teaches nothing, of different labels of one id the larger
+counts; equal hashes go to the smaller id, windows with equal distances are alike; with no training rows of one class
+every score is 0; further columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,15 +34,18 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeweave.llm.common import slices
+from edgeweave.llm.common import slices, stretch, text_or_empty
 
-SAMPLE = 1500
+SAMPLE, SAMPLE_CHARS = 1500, 16384
 WINDOW, STEP = 80, 60
 LEVEL = 9
 DICTIONARY = 32768
 #: A piece of a word must occur in so many toxic documents, and so many times as often there as in ordinary ones.
 LEAST_DOCS, LEAST_RATIO = 6, 30.0
 PIECES = range(5, 10)
+#: Characters around a chosen word in a toxic training window, and the trainer's sizes of dictionary, segment and piece.
+AROUND = 4
+TOXIC_SIZE, SEGMENT, DMER = 4096, 12, 6
 BAR = 2
 
 
@@ -57,38 +62,51 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_dict_id=False, write_checksum=False)
 
 
-def word_pieces(text: str | None) -> set[str]:
-    out = set()
-    for word in set(re.findall(r"\w+", (text or "").lower())):
-        word = f" {word[:64]} "
-        for n in PIECES:
-            out.update(word[i : i + n] for i in range(len(word) - n + 1))
-    return out
+def pieces_of(word: str) -> Iterator[str]:
+    word = f" {word} "
+    return (word[i : i + n] for n in PIECES for i in range(len(word) - n + 1))
 
 
-def toxic_content(toxic: list[str], ordinary: list[str]) -> bytes:
-    """The pieces that mark toxic text, commonest last; of one inside another only the outer."""
+def word_pieces(text: str) -> set[str]:
+    return {p for word in set(re.findall(r"\w+", text.lower())) for p in pieces_of(word)}
+
+
+def telling_pieces(toxic: list[str], ordinary: list[str]) -> set[str]:
+    """The pieces that far more toxic than ordinary documents have."""
     have, common = Counter(), Counter()
     for t in toxic:
         have.update(word_pieces(t))
     have = {p: n for p, n in have.items() if n >= LEAST_DOCS}
     for t in ordinary:
         common.update(p for p in word_pieces(t) if p in have)
-    ratio = {p: ((n + 0.5) / len(toxic)) / ((common[p] + 0.5) / len(ordinary)) for p, n in have.items()}
-    kept: list[str] = []
-    for p in sorted((p for p in ratio if ratio[p] > LEAST_RATIO), key=lambda p: (-have[p], -len(p), p)):
-        if not any(p in q for q in kept):
-            kept.append(p)
-    return "".join(reversed(kept)).encode("utf-8", "surrogatepass")[-DICTIONARY:]
+    return {p for p, n in have.items() if ((n + 0.5) / len(toxic)) / ((common[p] + 0.5) / len(ordinary)) > LEAST_RATIO}
+
+
+def toxic_windows(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    """The stretches of toxic text around words that hold a telling piece."""
+    telling, out = telling_pieces(toxic, ordinary), []
+    for t in map(str.lower, toxic):
+        for w in re.finditer(r"\w+", t):
+            if any(p in telling for p in pieces_of(w[0])):
+                out.append(t[max(0, w.start() - AROUND) : w.end() + AROUND].encode("utf-8", "surrogatepass"))
+    return out
+
+
+def trained(samples: list[bytes], size: int, segment: int, dmer: int) -> bytes:
+    """The dictionary that zstandard trains on the samples; of too little to train on, the samples themselves."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=dmer).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def toxic_content(toxic: list[str], ordinary: list[str]) -> bytes:
+    return trained(toxic_windows(toxic, ordinary), TOXIC_SIZE, SEGMENT, DMER)
 
 
 def ordinary_content(texts: list[str]) -> bytes:
     samples = [w for t in texts for w in (data[i : i + 256] for data in [t.lower().encode("utf-8", "surrogatepass")] for i in range(0, len(data), 256))]
-    samples = sorted(samples, key=lambda w: (zlib.crc32(w), w))[:20000]
-    try:
-        return zstandard.train_dictionary(DICTIONARY, samples, k=64, d=6).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on
-        return b"".join(samples)[-DICTIONARY:] or b" " * 8
+    return trained(sorted(samples, key=lambda w: (zlib.crc32(w), w)), DICTIONARY, 64, 6) or b" " * 8
 
 
 @dataclass
@@ -180,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         part = marks.filter(F.col("toxic") == label).orderBy(*by_hash).limit(SAMPLE)
         some = part if some is None else some.unionByName(part)
     # At most two times SAMPLE ids, so they go to the texts and not the texts to them.
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).collect()
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "toxic", stretch("text", SAMPLE_CHARS, F.xxhash64("doc_id")).alias("text")).collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
     return fit_texts([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0], n1 / max(1, n0 + n1))
 
@@ -189,7 +207,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted for every row; see op9."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole)):
             scores = [model.score(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 

@@ -567,6 +567,33 @@ def test_toxicity(spark):
     assert {x["score"] for x in toxicity.scored(docs.limit(3), none).collect()} == {0.0}
 
 
+def test_toxicity_by_brute_force(spark):
+    import zstandard
+
+    r = np.random.default_rng(9)
+    plain = [prose(300 + i, int(r.integers(5, 150))) for i in range(120)]
+    toxic = [f"{prose(500 + i, int(r.integers(5, 60)))} {r.choice(['abominable', 'contemptuous'])} {prose(600 + i, 20)}" for i in range(60)]
+    model = toxicity.fit_texts(toxic, plain, 1 / 3)
+    assert b"abominable" in model.toxic
+
+    def length(content, window):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=d, level=toxicity.LEVEL, write_content_size=False, write_dict_id=False, write_checksum=False).compress(window))
+
+    for text in [toxic[0], plain[0], "", None, "Abominable", "é" * 100]:
+        data = (text or "").lower().encode()
+        cut = [data[i : i + 80] for i in range(0, max(1, len(data) - 20), 60)] if len(data) > 80 else [data]
+        d = sorted((length(model.ordinary, w) - length(model.toxic + model.ordinary, w) for w in cut), reverse=True)
+        x = [d[0], sum(d[:3]) / len(d[:3]), max(0, sum(d) / len(d)) ** 0.5, (sum(v >= 2 for v in d) / len(d)) ** 0.5, np.log(len(d))]
+        z = sum(w * (v - m) / s for w, v, m, s in zip(model.weights, x, *model.scale, strict=False)) + model.weights[-1]
+        assert abs(model.score(text) - 1 / (1 + np.exp(-z))) < 1e-9
+    scores = [(model.score(t), y) for texts, y in ((toxic, 1), (plain, 0)) for t in texts]
+    assert np.mean([(s >= 0.5) == y for s, y in scores]) > 0.95
+    docs = docs_of(spark, ["x", None, "a" * 10**6], score="s", toxic=5).unionByName(docs_of(spark, ["x"], score="s", toxic=5))
+    got = toxicity.scored(docs, model).collect()
+    assert len(got) == 4 and all(0 <= r["score"] <= 1 for r in got) and toxicity.scored(docs.limit(0), model).count() == 0
+
+
 # Plumbing ------------------------------------------------------------------------------------------------------
 
 def test_gapless(spark):
