@@ -7,15 +7,19 @@ once under its missing rules, and joins findings back to all paths that hold the
 A span is the whole match, ``kind:start:end`` in code points, end exclusive.  Matches are leftmost and do not
 overlap within a rule; one whose checked group is shorter than the rule's minimum is dropped, and what it covered
 stays covered.  Positions are running sums over the pieces that ``split`` and ``regexp_extract_all`` give for one
-pattern, so that no position is searched for again.
+pattern, so that no position is searched for again; the sums go by blocks of BLOCK matches, as a fold that appends to
+one long array takes time with its square.
 
-Defined cases: a null text is an empty one; equal texts are one blob, scanned once; null ids pass through;
-repeated rows each get their row; an empty table gives an empty result.
+Defined cases: a null text is an empty one; equal texts are one blob, scanned once, and joined back to their rows in
+SALTS parts; very long texts are scanned whole; spans that start at one place are listed in the order of the rules;
+null ids pass through; repeated rows each get their row; further columns are ignored, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -45,25 +49,48 @@ RULES = (
 )
 
 SPAN = "array<struct<start:bigint,rank:int,span:string>>"
+#: Matches of one fold.
+BLOCK = 128
+#: Parts that the rows of one blob are joined in.
+SALTS = 8
 
 
 def spans_of(rule: Rule, rank: int, text: Column) -> Column:
     """The rule's spans in ``text``, in order."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     checked = whole if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
+    length = lambda xs: F.transform(xs, lambda x: F.length(x).cast("bigint"))
     gaps = F.slice(F.split(text, rule.pattern, -1), 1, F.size(whole))
-    parts = F.zip_with(F.arrays_zip(gaps.alias("gap"), whole.alias("hit")), checked, lambda p, c: F.struct(p["gap"].alias("gap"), p["hit"].alias("hit"), c.alias("checked")))
+    parts = F.arrays_zip(length(gaps).alias("gap"), length(whole).alias("hit"), length(checked).alias("checked"))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
 
     def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["gap"])
-        end = start + F.length(p["hit"])
-        found = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.concat_ws(":", F.lit(rule.kind), start.cast("string"), end.cast("string")).alias("span"))
-        kept = F.when(F.length(p["checked"]) >= rule.least, F.concat(acc["spans"], F.array(found))).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), kept.alias("spans"))
+        start = acc["at"] + p["gap"]
+        end = start + p["hit"]
+        found = F.array(F.struct(start.alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(p["checked"] >= rule.least, F.concat(acc["found"], found)).otherwise(acc["found"]).alias("found"))
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("spans"))
-    walked = F.aggregate(parts, start, step, lambda a: a["spans"])
-    return F.when(text.rlike(rule.pattern), walked).otherwise(F.array().cast(SPAN))
+    def block(xs: Column, i: Column) -> Column:
+        return F.aggregate(F.slice(xs, i * BLOCK + 1, F.lit(BLOCK)), F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("found")), step)
+
+    def walked(xs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")), lambda i: block(xs, i))
+        return bound(blocks, shifted)
+
+    def shifted(blocks: Column) -> Column:
+        begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+        starts = F.aggregate(blocks, begin, lambda a, x: F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")), lambda a: a["starts"])
+        return F.flatten(F.zip_with(blocks, starts, lambda x, o: F.transform(x["found"], lambda s: named(s["start"] + o, s["end"] + o))))
+
+    def named(start: Column, end: Column) -> Column:
+        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.concat_ws(":", F.lit(rule.kind), start.cast("string"), end.cast("string")).alias("span"))
+
+    return F.when(text.rlike(rule.pattern), bound(parts, walked)).otherwise(F.array().cast(SPAN))
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def blob_of(name: str = "text") -> Column:
@@ -112,8 +139,9 @@ def secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, at: str | None = N
     empty.write.mode("append").parquet(at)
     ledger_rows(scan(docs, spark.read.parquet(at), rules), rules).write.mode("append").parquet(at)
     hits = findings(docs, spark.read.parquet(at), rules)
-    paths = docs.select(F.col("doc_id"), blob_of().alias("blob"))
-    at = paths.join(hits, "blob", "left")
+    # A blob may be that of a third of all rows, so blobs with findings, which are few, are repeated for parts of the rows.
+    paths = docs.select(F.col("doc_id"), blob_of().alias("blob"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    at = paths.join(hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["blob", "salt"], "left")
     every = F.array_sort(F.concat(*[F.coalesce(r.kind, F.array().cast(SPAN)) for r in rules]))
     joined = F.array_join(F.transform(every, lambda s: s["span"]), ",")
     counts = [F.coalesce(F.size(F.col(r.kind)), F.lit(0)).cast("long").alias(f"n_{r.kind}") for r in rules]
