@@ -18,12 +18,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from edgeweave.llm.common import cut, fresh, gapless
+from edgeweave.llm.common import cut, fresh
 
 #: Requests to one shard are granted by whole buckets of hubs; that many of them.
 GRANTS = 512
-#: Rows of one shard that one task numbers, about.
+#: Rows that one task numbers, about.
 ROWS_PER_BUCKET = 100_000
 
 
@@ -91,37 +92,55 @@ def place_large(pieces: DataFrame, quotas: list[int]) -> DataFrame:
 
 
 def assign_shards(docs: DataFrame, n_shards: int = 24, hub: Column | None = None, rounds: int = 6) -> DataFrame:
-    """``docs`` with shard (0 to n_shards - 1) and slot (from 0, gapless in each shard)."""
-    names = fresh(docs, "_hub", "_origin", "_at", "_alone", "_id", "_rank", "shard", "slot")
-    h, origin, at, alone, ident, rank, shard, slot = names
+    """``docs`` with shard (0 to n_shards - 1) and slot (from 0, gapless in each shard).
+
+    All is decided on counts by (hub, origin, bucket); the documents themselves are shuffled once, by these.
+    """
+    h, origin, bucket, ident, within, shard, slot = fresh(docs, "_hub", "_origin", "_bucket", "_id", "_within", "shard", "slot")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")) if "doc_id" in docs.columns else F.col(h)
     base = docs.withColumn(h, equal_text() if hub is None else hub)
     base = base.withColumn(ident, F.xxhash64(key, F.col(h)))
     base = base.withColumn(origin, F.pmod(F.col(ident), F.lit(n_shards)).cast("int"))
-    pieces = base.groupBy(F.col(h).alias("hub"), F.col(origin).alias("origin")).agg(F.count(F.lit(1)).alias("n"))
-    pieces = cut(pieces)
-    total = pieces.agg(F.sum("n")).first()[0] or 0
-    quotas = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
-    linked = pieces.groupBy("hub").agg(F.sum("n").alias("all")).filter("all > 1").select("hub")
-    placed = propagate(pieces.join(linked, "hub", "left_semi"), quotas, rounds)
-    p_hub, p_origin, p_shard = fresh(base, "_p_hub", "_p_origin", "_p_shard")
-    placed = placed.select(F.col("hub").alias(p_hub), F.col("origin").alias(p_origin), F.col("shard").alias(p_shard))
-    first = base.join(placed, (F.col(h) == F.col(p_hub)) & (F.col(origin) == F.col(p_origin)), "left")
-    first = first.withColumn(at, F.coalesce(p_shard, origin)).withColumn(alone, F.col(p_shard).isNull()).drop(p_hub, p_origin, p_shard)
-    return fill(first, quotas, at, alone, ident, rank, shard, slot).drop(h, origin, at, alone, ident, rank)
-
-
-def fill(rows: DataFrame, quotas: list[int], at: str, alone: str, ident: str, rank: str, shard: str, slot: str) -> DataFrame:
-    """Gives each row a shard and a slot: the first rows of a shard, linked ones before others, keep it."""
+    # A bucket holds about ROWS_PER_BUCKET rows of the largest hub that there can be.
+    whole = cut(base.groupBy(F.col(h).alias("hub"), F.col(origin).alias("origin")).agg(F.count(F.lit(1)).alias("n")))
+    total, most = whole.agg(F.sum("n"), F.max("n")).first()
+    buckets = (most or 0) // ROWS_PER_BUCKET + 1
+    base = base.withColumn(bucket, F.pmod(F.xxhash64(F.lit("bucket"), ident), F.lit(buckets)).cast("int"))
+    parts = whole.withColumn("bucket", F.lit(0))
+    if buckets > 1:
+        parts = cut(base.groupBy(F.col(h).alias("hub"), F.col(origin).alias("origin"), F.col(bucket).alias("bucket")).agg(F.count(F.lit(1)).alias("n")))
+    quotas = [(total or 0) // n_shards + (s < (total or 0) % n_shards) for s in range(n_shards)]
+    linked = whole.groupBy("hub").agg(F.sum("n").alias("all")).filter("all > 1").select("hub")
+    placed = propagate(whole.join(linked, "hub", "left_semi"), quotas, rounds)
+    found = parts.join(placed, ["hub", "origin"], "left")
+    found = found.select("hub", "origin", "bucket", "n", F.coalesce("shard", "origin").alias("at"), F.col("shard").isNull().alias("alone"))
+    found = cut(places(cut(found), quotas))
+    same = [F.col(f"l.{x}") == F.col(f"r.{y}") for x, y in ((h, "hub"), (origin, "origin"), (bucket, "bucket"))]
+    ranked = base.withColumn(within, F.row_number().over(Window.partitionBy(h, origin, bucket).orderBy(ident)) - 1)
+    joined = ranked.alias("l").join(found.alias("r"), same)
+    to, at = destination(F.col("r.at"), F.col("r.place") + F.col(f"l.{within}"), found, quotas)
+    return joined.select(*[F.col(f"l.{c}") for c in docs.columns], to.alias(shard), at.alias(slot))
+
+
+def places(parts: DataFrame, quotas: list[int]) -> DataFrame:
+    """``parts`` (hub, origin, bucket, n, at, alone) with place: how many rows of their shard come before; linked rows come first."""
+    deals = max(8, sum(quotas) // ROWS_PER_BUCKET)
+    dealt = parts.withColumn("deal", F.pmod(F.xxhash64("hub", "origin", "bucket"), F.lit(deals)).cast("int"))
+    upto = lambda *by: Window.partitionBy(*by[0]).orderBy(*by[1]).rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("at", "alone", "deal").agg(F.sum("n").alias("m"))  # shards x 2 x deals rows
+    counts = counts.select("at", "alone", "deal", F.coalesce(F.sum("m").over(upto(["at"], ["alone", "deal"])), F.lit(0)).alias("first"))
+    before = F.coalesce(F.sum("n").over(upto(["at", "alone", "deal"], ["hub", "origin", "bucket"])), F.lit(0))
+    numbered = dealt.withColumn("before", before).join(counts, ["at", "alone", "deal"])
+    return numbered.select("hub", "origin", "bucket", "at", "n", (F.col("first") + F.col("before")).alias("place"))
+
+
+def destination(at: Column, place: Column, parts: DataFrame, quotas: list[int]) -> tuple[Column, Column]:
+    """Shard and slot: the first rows of a shard, up to its quota, keep it; the others fill the free slots in order."""
     k = len(quotas)
-    sides = rows.groupBy(at, alone).count().collect()  # at most two rows a shard
-    n_linked = [sum(r["count"] for r in sides if r[at] == s and not r[alone]) for s in range(k)]
-    n_all = [sum(r["count"] for r in sides if r[at] == s) for s in range(k)]
-    buckets = max(8, sum(n_all) // ROWS_PER_BUCKET)
-    ranked = gapless(rows, [at, alone], [ident], rank, buckets)
+    sizes = {r["at"]: r["n"] for r in parts.groupBy("at").agg(F.sum("n").alias("n")).collect()}  # one row a shard
+    n_all = [sizes.get(s, 0) for s in range(k)]
     longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    of = lambda xs: F.get(longs(xs), F.col(at))
-    place = F.col(rank) + F.when(F.col(alone), of(n_linked)).otherwise(F.lit(0))
+    of = lambda xs: F.get(longs(xs), at)
     over = [max(0, n - q) for n, q in zip(n_all, quotas, strict=True)]
     free = [max(0, q - n) for n, q in zip(n_all, quotas, strict=True)]
     over_before = [sum(over[:s]) for s in range(k)]
@@ -130,7 +149,7 @@ def fill(rows: DataFrame, quotas: list[int], at: str, alone: str, ident: str, ra
     to = F.size(F.filter(longs(free_to), lambda end: end <= moved))
     new_slot = F.get(longs(n_all), to) + moved - F.get(longs([e - f for e, f in zip(free_to, free, strict=True)]), to)
     stays = place < of(quotas)
-    return ranked.withColumn(shard, F.when(stays, F.col(at)).otherwise(to).cast("int")).withColumn(slot, F.when(stays, place).otherwise(new_slot).cast("long"))
+    return F.when(stays, at).otherwise(to).cast("int"), F.when(stays, place).otherwise(new_slot).cast("long")
 
 
 def shard_table(docs: DataFrame, n_shards: int = 24) -> DataFrame:

@@ -482,6 +482,22 @@ def test_shards(spark):
     assert sharding.shard_table(docs_of(spark, [])).count() == 0
 
 
+def test_shards_of_a_hub_in_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_PER_BUCKET", 7)
+    texts = ["hot"] * 700 + [f"t{i}" for i in range(300)] + [f"pair{i // 2}" for i in range(100)]
+    rows = sharding.assign_shards(docs_of(spark, texts).unionByName(docs_of(spark, ["hot"])), 5).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert len(rows) == 1101 and sorted(map(len, by.values())) == [220, 220, 220, 220, 221]
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    # Few groups but the hot one are cut.
+    where = {}
+    for r in rows:
+        where.setdefault(r["text"], set()).add(r["shard"])
+    assert sum(len(v) > 1 for v in where.values()) <= 4
+
+
 # 7 -------------------------------------------------------------------------------------------------------------
 
 def test_language_id(spark):
