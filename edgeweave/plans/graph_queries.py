@@ -194,9 +194,9 @@ def traversal_evidence_counts(spark: SparkSession, d: str) -> DataFrame:
     return analyze.evidence_counts(reached(spark, d, ["s1"]))
 
 
-MONTHS = """WITH t AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS change, 'p' || l_partkey AS id FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey % 10 = 3),
-rad AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS change, 'p' || (l_partkey + 1) AS id FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey % 10 = 3),
-f AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS change, 'p' || (l_partkey % 50) AS file FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey % 10 = 3),
+MONTHS = """WITH t AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS change, 'p' || l_partkey AS id FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+rad AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS change, 'p' || (l_partkey + 1) AS id FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+f AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS change, 'p' || (l_partkey % 50) AS file FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 direct AS (SELECT a.change AS a, b.change AS b, id FROM t a JOIN t b USING (id) WHERE a.change < b.change),
 far AS (SELECT DISTINCT least(x.change, y.change) AS a, greatest(x.change, y.change) AS b, id FROM t x JOIN rad y USING (id) WHERE x.change <> y.change),
 far2 AS (SELECT * FROM far ANTI JOIN direct USING (a, b, id)),
@@ -209,8 +209,8 @@ SELECT a, b, CAST(direct AS BIGINT) AS direct, CAST(radius AS BIGINT) AS radius,
 
 @query(MONTHS)
 def overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Months of the orders of every tenth customer as changes."""
-    orders = views.table(spark, d, "orders").filter("o_custkey % 10 = 3").select(F.col("o_orderkey").alias("l_orderkey"), F.date_format("o_orderdate", "yyyy-MM").alias("change"))
+    """Months of orders as changes."""
+    orders = views.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.date_format("o_orderdate", "yyyy-MM").alias("change"))
     lines = views.table(spark, d, "lineitem").join(orders, "l_orderkey")
     part = lambda c, name: lines.select("change", F.concat(F.lit("p"), c.cast("string")).alias(name))
     return analyze.overlaps(part(F.col("l_partkey"), "id"), part(F.col("l_partkey") + 1, "id"), part(F.col("l_partkey") % 50, "file"))

@@ -173,7 +173,7 @@ def enclosing_smallest_span(spark: SparkSession, d: str) -> DataFrame:
     return resolve.smallest_enclosing(points, spans)
 
 
-DIVISION = """WITH need AS (SELECT DISTINCT c_nationkey % 5 AS package, 's' || c_nationkey AS interface, c_mktsegment AS method FROM customer WHERE c_custkey % 40 = 3),
+DIVISION = """WITH need AS (SELECT DISTINCT c_nationkey % 5 AS package, 's' || c_nationkey AS interface, c_mktsegment AS method FROM customer),
 has AS (SELECT DISTINCT c_nationkey % 5 AS package, 'c' || (c_custkey % 60) AS type, c_mktsegment AS method FROM customer)
 SELECT DISTINCT package, type, interface FROM need n JOIN has USING (package) WHERE type <> interface AND NOT EXISTS (
   SELECT 1 FROM need m WHERE m.package = n.package AND m.interface = n.interface AND NOT EXISTS (SELECT 1 FROM has h WHERE h.package = n.package AND h.type = has.type AND h.method = m.method))"""
@@ -184,7 +184,7 @@ def relational_division(spark: SparkSession, d: str) -> DataFrame:
     """Customers' groups that cover all market segments of a nation's list, as types that satisfy interfaces."""
     c = views.table(spark, d, "customer")
     package, method = (F.col("c_nationkey") % 5).alias("package"), F.col("c_mktsegment").alias("method")
-    needs = c.filter("c_custkey % 40 = 3").select(package, F.concat(F.lit("s"), F.col("c_nationkey").cast("string")).alias("owner"), method)
+    needs = c.select(package, F.concat(F.lit("s"), F.col("c_nationkey").cast("string")).alias("owner"), method)
     has = c.select(package, F.concat(F.lit("c"), (F.col("c_custkey") % 60).cast("string")).alias("owner"), method)
     return resolve.implicit_interfaces(needs, has)
 
@@ -201,7 +201,7 @@ def module_key_prefix_join(spark: SparkSession, d: str) -> DataFrame:
     return resolve.module_roots_of(files, roots)
 
 
-DISPATCH = f"""WITH {sql.CODE_NODES}, im AS (SELECT DISTINCT n.file, 't' || (l_suppkey % 7) AS trait_id, n.start - 50 AS s, n.start + 150 AS e FROM lineitem JOIN code_nodes n ON part = l_partkey WHERE l_linenumber = 1 AND l_returnflag = 'R'),
+DISPATCH = f"""WITH {sql.CODE_NODES}, im AS (SELECT DISTINCT n.file, 't' || (l_suppkey % 7) AS trait_id, n.start - 50 AS s, n.start + 150 AS e FROM lineitem JOIN code_nodes n ON part = l_partkey),
 tr AS (SELECT DISTINCT 't' || (part % 7) AS trait_id, name, 'm' || (part % 7) || name AS id FROM code_nodes WHERE part % 5 = 0),
 i AS (SELECT m.name, m.id AS method, kind, im.trait_id FROM code_nodes m JOIN im ON im.file = m.file AND im.s <= m.start AND m.end_ <= im.e)
 SELECT DISTINCT tr.id AS src, method AS dst, 'calls' AS relation FROM i JOIN tr USING (trait_id, name) WHERE tr.id <> method
@@ -211,7 +211,7 @@ UNION SELECT DISTINCT 'own' || kind, trait_id, CASE kind WHEN 'trait' THEN 'exte
 @query(DISPATCH)
 def dynamic_dispatch(spark: SparkSession, d: str) -> DataFrame:
     nodes = views.code_nodes(spark, d)
-    lines = views.table(spark, d, "lineitem").filter("l_linenumber = 1 and l_returnflag = 'R'").select(F.col("l_partkey").alias("part"), "l_suppkey")
+    lines = views.table(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), "l_suppkey")
     trait = lambda c: F.concat(F.lit("t"), (F.col(c) % 7).cast("string"))
     impls = lines.join(nodes.select("part", "file", "start"), "part").select("file", trait("l_suppkey").alias("trait_id"), (F.col("start") - 50).alias("start"), (F.col("start") + 150).alias("end")).distinct()
     traits = nodes.filter("part % 5 = 0").select(trait("part").alias("trait_id"), F.lit("trait").alias("trait_kind"), "name", F.concat(F.lit("m"), (F.col("part") % 7).cast("string"), "name").alias("id")).distinct()
@@ -288,9 +288,9 @@ def scip_reference_rightmost(spark: SparkSession, d: str) -> DataFrame:
     return rightmost(spark, d)
 
 
-@query(f"WITH {RIGHTMOST}, syn AS (SELECT id AS ref_id, CASE WHEN part % 3 = 0 THEN id END AS target, 'scope' AS evidence FROM code_nodes WHERE part % 2 = 0) SELECT ref_id, coalesce(s.target, c.target) AS target, CASE WHEN s.target IS NOT NULL THEN evidence WHEN c.target IS NOT NULL THEN 'scip' END AS evidence, CASE WHEN s.target IS NULL OR c.target IS NULL THEN NULL WHEN s.target = c.target THEN 'agree' ELSE 'disagree' END AS agreement FROM syn s FULL JOIN scip c USING (ref_id)")
+@query(f"WITH {RIGHTMOST}, syn AS (SELECT id AS ref_id, CASE WHEN part % 3 = 0 THEN id END AS target, 'scope' AS evidence FROM code_nodes) SELECT ref_id, coalesce(s.target, c.target) AS target, CASE WHEN s.target IS NOT NULL THEN evidence WHEN c.target IS NOT NULL THEN 'scip' END AS evidence, CASE WHEN s.target IS NULL OR c.target IS NULL THEN NULL WHEN s.target = c.target THEN 'agree' ELSE 'disagree' END AS agreement FROM syn s FULL JOIN scip c USING (ref_id)")
 def evidence_merge(spark: SparkSession, d: str) -> DataFrame:
-    syntax = views.code_nodes(spark, d).filter("part % 2 = 0").select(F.col("id").alias("ref_id"), F.when(F.col("part") % 3 == 0, F.col("id")).alias("target"), F.lit("scope").alias("evidence"))
+    syntax = views.code_nodes(spark, d).select(F.col("id").alias("ref_id"), F.when(F.col("part") % 3 == 0, F.col("id")).alias("target"), F.lit("scope").alias("evidence"))
     return resolve.merge_evidence(syntax, rightmost(spark, d))
 
 

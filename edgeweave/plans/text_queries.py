@@ -65,10 +65,10 @@ def name_tail(spark: SparkSession, d: str) -> DataFrame:
     return page_files(spark, d).select("page_id", text.name_tail(F.col("file")).alias("tail"))
 
 
-@query("SELECT page_id, CAST(length(h) - length(replace(h, chr(10), '')) + 1 AS INTEGER) AS line FROM (SELECT page_id, array_to_string(list_transform(range(1, least(length(html), 2000) + 1), lambda i: CASE WHEN substr(html, i, 1) = chr(10) THEN chr(10) ELSE 'x' END), '') AS h FROM pages)")
+@query("SELECT page_id, CAST(length(html) - length(replace(html, chr(10), '')) + 1 AS INTEGER) AS line FROM pages")
 def line_of_offset(spark: SparkSession, d: str) -> DataFrame:
-    """The line of the byte where the 2000th character ends."""
-    pages = views.table(spark, d, "pages").withColumn("byte", F.octet_length(F.substring("html", 1, 2000)))
+    """The line of each page's end."""
+    pages = views.table(spark, d, "pages").withColumn("byte", F.octet_length("html"))
     return pages.select("page_id", text.line_of(F.col("html"), F.col("byte")).cast("int").alias("line"))
 
 
@@ -114,10 +114,10 @@ def token_recall(spark: SparkSession, d: str) -> DataFrame:
     return search.with_terms(search.token_index(views.code_nodes(spark, d)), ["rings", "promo"])
 
 
-@query(f"WITH x AS (SELECT doc_id, regexp_extract(text, '[^ ]+ [^ ]+ [^ ]+') AS t FROM documents) SELECT doc_id, array_to_string({CAMEL.format('t')}, '|') AS camel, array_to_string({IDENT.format('t')}, '|') AS ident FROM x")
+@query(f"SELECT doc_id, array_to_string({CAMEL.format('text')}, '|') AS camel, array_to_string({IDENT.format('text')}, '|') AS ident FROM documents")
 def word_splits(spark: SparkSession, d: str) -> DataFrame:
-    rows = views.table(spark, d, "documents").select("doc_id", F.regexp_extract("text", "[^ ]+ [^ ]+ [^ ]+", 0).alias("t"))
-    return rows.select("doc_id", F.array_join(text.camel_words(F.col("t")), "|").alias("camel"), F.array_join(text.identifier_words(F.col("t")), "|").alias("ident"))
+    rows = views.table(spark, d, "documents")
+    return rows.select("doc_id", F.array_join(text.camel_words(F.col("text")), "|").alias("camel"), F.array_join(text.identifier_words(F.col("text")), "|").alias("ident"))
 
 
 @query(f"WITH {sql.CODE_NODES} SELECT id, regexp_extract(id, '^[^#]*#(.*)@[^@]*$', 1) AS qualified, 'symbol:' || kind || ':' || strlen(file) || ':' || file || '#' || regexp_extract(id, '^[^#]*#(.*)@[^@]*$', 1) AS key FROM code_nodes")
