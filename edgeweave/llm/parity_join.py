@@ -18,6 +18,9 @@ band.  Classes that share a key are compared in three steps, none of which write
    sketches allow a link (tested inside the join, so that other pairs are never rows);
 3. every pair from 1 and 2 whose sizes and sketches allow a link is verified on the sets themselves, in integers.
 
+Of large sets a short sketch says nothing, as half its bits are set by chance.  They have a wide one as well, of about as
+many bits as members, which pairs from 1 and 2 must pass before their sets are read; the wider one of two is folded.
+
 Components come from star rounds over the verified links.  No link between different texts is lost; classes stand
 for their copies.  Sets of all documents are never stored: sketches choose the pairs, and only for these the texts
 are read again.
@@ -33,7 +36,7 @@ whatever their names; an empty table gives an empty result.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +80,11 @@ def sketch(hashes: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
+def wide_words(n: int) -> int:
+    """Words of the wide sketch of n members: a power of two, with n to 2 n bits, and SKETCH at least."""
+    return max(SKETCH, 1 << max(0, (n - 1) // 64).bit_length())
+
+
 def word_keys(hashes: np.ndarray, words: int, needed: int, band: int) -> np.ndarray:
     """One join key per word that has a shingle: the XOR of the whole hashes that fall into it, with size band and place.
 
@@ -132,8 +140,8 @@ def arrow_list(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64), pa.int64()))
 
 
-#: What ``written`` gives: a row's set, a class's sketch, or (0 to PASSES - 1) a class's keys of that part.
-ROW, MARK = -1, -2
+#: What ``written`` gives: a row's set, a class's sketch, a large class's wide sketch, or (0 to PASSES - 1) a class's keys of that part.
+ROW, MARK, WIDE = -1, -2, -3
 WRITTEN = "part int, doc_id bigint, digest binary, n bigint, hi bigint, lo bigint, numbers array<bigint>"
 
 
@@ -147,7 +155,7 @@ def written(docs: DataFrame, k: int, threshold: int) -> str:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, given = Bands(), set()
         for batch in (piece for whole in batches for piece in slices(whole)):
-            marks, keys, each = [], [], []
+            marks, wide, keys, each = [], [], [], []
             for text in batch.column("text"):
                 s = shingles(word_hashes(text.as_py()), k)
                 each.append((len(s), *fingerprint(s)))
@@ -156,10 +164,13 @@ def written(docs: DataFrame, k: int, threshold: int) -> str:
                         given.clear()
                     given.add(each[-1])
                     marks.append((each[-1], sketch(s, SKETCH)))
+                    if (words := wide_words(len(s))) > SKETCH:
+                        wide.append((each[-1], sketch(s, words)))
                     keys += [(each[-1], own) for b, w, needed in bands.of(len(s), threshold) for own in by_part(word_keys(s, w, needed, b))]
             size = len(each)
             yield rows_of(np.full(size, ROW), batch.column("doc_id"), batch.column("digest"), each, [np.empty(0, dtype=np.int64)] * size)
-            yield rows_of(np.full(len(marks), MARK), None, None, [m for m, _ in marks], [x for _, x in marks])
+            for part, sketches in ((MARK, marks), (WIDE, wide)):
+                yield rows_of(np.full(len(sketches), part), None, None, [m for m, _ in sketches], [x for _, x in sketches])
             yield rows_of(np.array([part for _, (part, _) in keys], dtype=np.int64), None, None, [m for m, _ in keys], [x for _, (_, x) in keys])
 
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
@@ -269,13 +280,26 @@ def shared_keys(spark: SparkSession, path: str, classes: DataFrame) -> DataFrame
     return nodes
 
 
-def may_link(x: Column, y: Column, threshold: int) -> Column:
+def folded(sketch_: Column, words: Column) -> Column:
+    """The sketch in so many words, a divisor of its own: those that fall together are XORed."""
+    piece = lambda j: F.slice(sketch_, j * words + 1, words)
+    others = F.sequence(F.lit(1), (F.size(sketch_) / words).cast("int") - 1)
+    xored = F.aggregate(others, piece(F.lit(0)), lambda s, j: F.zip_with(s, piece(j), lambda a, b: a.bitwiseXOR(b)))
+    return F.when(F.size(sketch_) == words, sketch_).otherwise(xored)
+
+
+def wide_hamming(a: Column, b: Column) -> Column:
+    words = F.least(F.size(a), F.size(b))
+    return hamming(folded(a, words), folded(b, words))
+
+
+def may_link(x: Column, y: Column, threshold: int, distance: Callable[[Column, Column], Column] = hamming) -> Column:
     """Whether size and sketch allow a link; x and y are structs of both.
 
     Linked sets differ in (x + y) * (100 - t) / (100 + t) shingles at most, and their sketches in no more bits.
     """
     sizes = 100 * F.least(x["size"], y["size"]) >= threshold * F.greatest(x["size"], y["size"])
-    return sizes & (hamming(x["sketch"], y["sketch"]) * (100 + threshold) <= (x["size"] + y["size"]) * (100 - threshold))
+    return sizes & (distance(x["sketch"], y["sketch"]) * (100 + threshold) <= (x["size"] + y["size"]) * (100 - threshold))
 
 
 def marks_of(marks: DataFrame, node: str, mark: str) -> DataFrame:
@@ -306,9 +330,16 @@ def rest_pairs(rest: DataFrame, marks: DataFrame, threshold: int) -> DataFrame:
     return x.join(y, close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, threshold: int) -> DataFrame:
+def wide_pairs(pairs: DataFrame, wide: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) without those of two large classes whose wide sketches allow no link."""
+    both = pairs.join(marks_of(wide, "a", "x"), "a", "left").join(marks_of(wide, "b", "y"), "b", "left")
+    x, y = F.col("x"), F.col("y")
+    return both.filter(F.when(x.isNull() | y.isNull(), True).otherwise(may_link(x, y, threshold, wide_hamming))).select("a", "b")
+
+
+def confirmed(pairs: DataFrame, wide: DataFrame, docs: DataFrame, classes: DataFrame, k: int, threshold: int) -> DataFrame:
     """The pairs (a, b) whose sets, made anew from the texts, are linked."""
-    pairs = cut(pairs)
+    pairs = cut(wide_pairs(pairs, wide, threshold))
     sets = shingle_sets(docs, pairs, classes, k)
     release(pairs.sparkSession)
     out = cut(verified(pairs, sets, threshold))
@@ -317,19 +348,19 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, thr
     return out
 
 
-def near_pairs(active: DataFrame, marks: DataFrame, docs: DataFrame, classes: DataFrame, k: int, threshold: int) -> DataFrame:
+def near_pairs(active: DataFrame, marks: DataFrame, wide: DataFrame, docs: DataFrame, classes: DataFrame, k: int, threshold: int) -> DataFrame:
     """Verified links (a, b) between class nodes that connect whatever all links connect."""
     spark = active.sparkSession
     support = active.groupBy("node").agg(F.sum("n").alias("support"))
     centres = active.join(support, "node").groupBy("key").agg(F.max(F.struct("support", (-F.col("node")).alias("m"))).alias("c"))
     centres = cut(centres.select("key", (-F.col("c.m")).alias("centre")))
     release(spark)
-    links = confirmed(star_pairs(active, centres, marks, threshold), docs, classes, k, threshold)
+    links = confirmed(star_pairs(active, centres, marks, threshold), wide, docs, classes, k, threshold)
     rest = rest_of(active, centres, components(links))
     forget(active, centres)
     if not rest.isEmpty():
         release(spark)
-        links = links.unionByName(confirmed(rest_pairs(rest, marks, threshold), docs, classes, k, threshold))
+        links = links.unionByName(confirmed(rest_pairs(rest, marks, threshold), wide, docs, classes, k, threshold))
     forget(rest)
     release(spark)
     return links
@@ -348,12 +379,15 @@ def grouped(docs: DataFrame, k: int, threshold: int) -> DataFrame:
     active = shared_keys(spark, path, classes)
     marks = part_of(spark, path, MARK).join(classes.select("hi", "lo", "node"), ["hi", "lo"]).join(active.select("node").distinct(), "node", "left_semi")
     marks = cut(marks.groupBy("node").agg(F.max("n").alias("size"), F.first("numbers").alias("sketch")))  # equal ones
-    delete(spark, f"{path}/part={MARK}")
-    links = near_pairs(active, marks, docs, classes, k, threshold)
+    wide = part_of(spark, path, WIDE).join(classes.select("hi", "lo", "node"), ["hi", "lo"]).join(marks.select("node"), "node", "left_semi")
+    wide = cut(wide.groupBy("node").agg(F.max("n").alias("size"), F.first("numbers").alias("sketch")))
+    for part in (MARK, WIDE):
+        delete(spark, f"{path}/part={part}")
+    links = near_pairs(active, marks, wide, docs, classes, k, threshold)
     parts = components(links)
     named = classes.join(parts, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("group"))
     out = cut(each.join(named, ["hi", "lo"], "left").select("doc_id", "digest", "n", F.when(F.col("n") > 0, F.col("group")).alias("group")))
-    forget(classes, marks, links, parts)
+    forget(classes, marks, wide, links, parts)
     delete(spark, path)
     release(spark)
     return out

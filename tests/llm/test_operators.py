@@ -100,6 +100,23 @@ def test_sketches_bound_the_difference():
     assert len(hashing.word_hashes(long)) == 900_000 and len(set(hashing.word_hashes(long).tolist())) == 1
 
 
+def test_near_duplicates_of_large_sets(spark):
+    # Sets about 4096 members, so that wide sketches of 64 and 128 words meet; some share much less than they must.
+    base, other = prose(60, 4000, 10**6), prose(61, 4000, 10**6)
+    words = base.split(" ")
+    texts = [base, base + " " + prose(62, 400, 10**6), base + " " + prose(63, 1200, 10**6), other, " ".join(words[:2500]) + " " + prose(64, 1800, 10**6), " ".join(words[:3600]), base + " " + other, prose(65, 100) + " " + other, None]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in parity_join.near_duplicates(docs_of(spark, texts, x=1, y=2), 5, 80).collect()}
+    assert got == brute_components(texts, 5, 80) and got[1][1] == 0 and got[4][1] == 4 and got[6][1] == 6
+
+
+def test_wide_sketches_fold_to_those_of_fewer_words(spark):
+    members = hashing.shingles(hashing.word_hashes(prose(1, 5000, 10**6)), 3)
+    assert [parity_join.wide_words(n) for n in (0, 1, 2048, 2049, 4096, 4097)] == [32, 32, 32, 64, 64, 128]
+    rows = spark.createDataFrame([(parity_join.sketch(members, w).tolist(), v) for w in (32, 64, 128) for v in (32, 64, 128) if v <= w], "wide array<long>, words int")
+    for r in rows.withColumn("folded", parity_join.folded(F.col("wide"), F.col("words"))).collect():
+        assert r["folded"] == parity_join.sketch(members, r["words"]).tolist()
+
+
 def test_components(spark):
     rows = [(1, 2), (3, 2), (4, 3), (9, 10), (10, 11), (2, 1), (7, 7)] + [(100, i) for i in range(101, 140)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(rows, "a long, b long")).collect()}
