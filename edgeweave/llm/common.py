@@ -15,6 +15,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of rows that go to a Python worker at once; a longer row goes by itself.
+BATCH_BYTES = 2 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir`` (any path that Spark reads)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -73,8 +78,20 @@ def nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose session hands Python workers BATCH_BYTES at a time, or what the caller has set.
+
+    A batch is held in the JVM outside the heap as well as in the worker.  Spark reads the setting when a plan runs, so
+    it stays set.
+    """
+    conf = df.sparkSession.conf
+    if BATCH_SETTING not in conf.getAll:
+        conf.set(BATCH_SETTING, BATCH_BYTES)
+    return df
+
+
 def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of so many rows at most; its bytes are bounded by the session (64 MB unless set)."""
+    """The batch in pieces of so many rows at most; its bytes are bounded by the session (see ``bounded``)."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeweave.llm.common import cut, fresh, slices, text_or_empty
+from edgeweave.llm.common import bounded, cut, fresh, slices, text_or_empty
 from edgeweave.llm.hashing import LAST, ODD, code_points, fold, mixed
 
 Q = 9
@@ -278,7 +278,7 @@ def contaminated_regions(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 cols = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "start", "end", "edits"])
 
-        part = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, item_id bigint, start bigint, end bigint, edits bigint")
+        part = bounded(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, item_id bigint, start bigint, end bigint, edits bigint")
         part = cut(part) if parts > 1 else part  # so that no two indexes are held at once
         out = part if out is None else out.unionByName(part)
     return out
@@ -288,11 +288,11 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that hold a region of any benchmark item."""
     parts, held = parts_of(benchmark), None
     if parts == 1:
-        return docs.filter(~holder(next(indexes(benchmark, 1)))(text_or_empty()))
+        return bounded(docs).filter(~holder(next(indexes(benchmark, 1)))(text_or_empty()))
     ident, digest = fresh(docs, "_id", "_digest")
     hashed = docs.withColumn(digest, F.md5(text_or_empty()))
     for index in indexes(benchmark, parts):
-        part = cut(docs.filter(holder(index)(text_or_empty())).select(F.col("doc_id").alias(ident), F.md5(text_or_empty()).alias(f"{digest}_held")))
+        part = cut(bounded(docs).filter(holder(index)(text_or_empty())).select(F.col("doc_id").alias(ident), F.md5(text_or_empty()).alias(f"{digest}_held")))
         held = part if held is None else held.unionByName(part)
     return hashed.join(held, hashed["doc_id"].eqNullSafe(held[ident]) & (hashed[digest] == held[f"{digest}_held"]), "left_anti").drop(digest)
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from edgeweave.llm.common import slices, stretch, text_or_empty
+from edgeweave.llm.common import bounded, slices, stretch, text_or_empty
 from edgeweave.llm.hashing import LAST, ODD, code_points, fold, mixed
 
 BITS = 13
@@ -142,7 +142,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
                 total[-1] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["dim", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "dim bigint, n bigint").groupBy("dim").agg(F.sum("n").alias("n")).collect()
+    rows = bounded(docs).select("text").mapInArrow(run, "dim bigint, n bigint").groupBy("dim").agg(F.sum("n").alias("n")).collect()
     out = np.zeros((1 << BITS) + 1, dtype=np.int64)
     for r in rows:  # 2 ** BITS + 1 rows
         out[r["dim"]] = r["n"]
@@ -221,7 +221,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             name, score, rejected = model.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double, rejected boolean")
+    return bounded(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double, rejected boolean")
 
 
 def named(docs: DataFrame, model: Model) -> DataFrame:
@@ -231,7 +231,7 @@ def named(docs: DataFrame, model: Model) -> DataFrame:
     def kept(texts: pd.Series) -> pd.Series:
         return pd.Series([not r for r in model.predict(list(texts))[2]], dtype=bool)
 
-    return docs.filter(kept(text_or_empty()))
+    return bounded(docs).filter(kept(text_or_empty()))
 
 
 def predictions(docs: DataFrame) -> DataFrame:

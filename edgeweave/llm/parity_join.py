@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from edgeweave.llm.common import cut, delete, forget, fresh, release, shared_dir, slices, text_or_empty
+from edgeweave.llm.common import bounded, cut, delete, forget, fresh, release, shared_dir, slices, text_or_empty
 from edgeweave.llm.graph import components
 from edgeweave.llm.hashing import ODD, fingerprint, mixed, shingles, word_hashes
 
@@ -175,7 +175,7 @@ def written(docs: DataFrame, k: int, threshold: int) -> str:
 
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     digest = F.unhex(F.md5(text_or_empty()))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), digest.alias("digest"), "text").mapInArrow(run, WRITTEN)
+    rows = bounded(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), digest.alias("digest"), "text").mapInArrow(run, WRITTEN)
     rows.write.partitionBy("part").parquet(path)
     return path
 
@@ -236,7 +236,7 @@ def shingle_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int)
             yield pa.RecordBatch.from_arrays([*columns, arrow_list(sets)], names=["hi", "lo", "set"])
 
     texts = flagged(docs.select("doc_id", "text"), wanted, "may").filter("may").select("text")
-    found = texts.mapInArrow(run, "hi bigint, lo bigint, set array<bigint>").join(wanted.select("hi", "lo", "node"), ["hi", "lo"])
+    found = bounded(texts).mapInArrow(run, "hi bigint, lo bigint, set array<bigint>").join(wanted.select("hi", "lo", "node"), ["hi", "lo"])
     out = cut(found.groupBy("node").agg(F.first("set").alias("set")))  # equal sets, sorted
     forget(wanted)
     return out

@@ -657,3 +657,21 @@ def test_gapless(spark):
     for r in got:
         by.setdefault(r["g"], []).append(r["n"])
     assert all(sorted(v) == list(range(len(v))) for v in by.values()) and len(got) == 102
+
+
+def test_batches_for_workers_are_bounded_unless_the_caller_says_otherwise(spark):
+    df, key = docs_of(spark, ["a"]), common.BATCH_SETTING
+    before = spark.conf.getAll.get(key)
+    try:
+        spark.conf.unset(key)
+        common.bounded(df)
+        assert int(spark.conf.get(key).rstrip("b")) == common.BATCH_BYTES
+        spark.conf.set(key, 4096)
+        assert common.bounded(df) is df and int(spark.conf.get(key).rstrip("b")) == 4096
+        long = [prose(i, 4000) for i in range(40)] + [None, "", prose(3, 4000)]  # rows longer than a batch
+        rows = parity_join.near_duplicates(docs_of(spark, long), 5, 80).collect()
+        assert {r["doc_id"]: r["component_id"] for r in rows} == {i: 3 if i == 42 else i for i in range(43)}
+    finally:
+        spark.conf.unset(key)
+        if before is not None:
+            spark.conf.set(key, before)
