@@ -96,3 +96,7 @@ def test_kinds_are_counted_once_a_key(spark, tables):
 
 def test_categories_make_no_row_per_candidate(spark, tables):
     assert made(same_as_sql(spark, tables, "unresolved_categories")) <= 2 * LINES
+
+
+def test_coverage_makes_no_row_per_candidate(spark, tables):
+    assert made(same_as_sql(spark, tables, "coverage_envelope")) <= 2 * LINES
