@@ -100,3 +100,5 @@ def test_categories_make_no_row_per_candidate(spark, tables):
 
 def test_coverage_makes_no_row_per_candidate(spark, tables):
     assert made(same_as_sql(spark, tables, "coverage_envelope")) <= 2 * LINES
+def test_listing_makes_no_row_per_candidate(spark, tables):
+    assert made(same_as_sql(spark, tables, "unresolved_listing")) <= 2 * LINES
