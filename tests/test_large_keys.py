@@ -102,3 +102,7 @@ def test_coverage_makes_no_row_per_candidate(spark, tables):
     assert made(same_as_sql(spark, tables, "coverage_envelope")) <= 2 * LINES
 def test_listing_makes_no_row_per_candidate(spark, tables):
     assert made(same_as_sql(spark, tables, "unresolved_listing")) <= 2 * LINES
+
+
+def test_evidence_of_places(spark, tables):
+    assert made(same_as_sql(spark, tables, "evidence_merge")) <= 2 * LINES
