@@ -130,6 +130,10 @@ def test_counted_references_move_as_their_places(spark, tables):
     assert sum(metrics(same_as_sql(spark, tables, "coverage_envelope"), "ShuffleExchange", "dataSize")) <= 300 * LINES
 
 
+def test_listing_makes_references_of_the_first_places_only(spark, tables):
+    assert sum(metrics(same_as_sql(spark, tables, "unresolved_listing"), "ShuffleExchange", "dataSize")) <= 100 * LINES
+
+
 def test_overlaps_make_no_row_per_pair_and_id(spark, tables):
     rows = spark.createDataFrame([(f"c{c:02}", f"f{i}") for c in range(20) for i in range(300)], "change string, id string")
     files = spark.createDataFrame([("c00", "zz")], "change string, file string")
